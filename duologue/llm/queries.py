@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from duologue.llm import linededup, packing, secrets, simhash, urlfilter
+from duologue.llm import decontam, linededup, packing, secrets, simhash, toxicity, urlfilter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_packing": packing.op2_packing,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_decontamination": decontam.op6_decontamination,
     "op7_line_dedup": linededup.op7_line_dedup,
     "op8_secrets": secrets.op8_secrets,
     "op10_url_filter": urlfilter.op10_url_filter,
