@@ -32,6 +32,8 @@ UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 MIN_CHARS, MIN_DOCS = 40, 5
 HASHES = 4
 BITS_PER_LINE = 12
+#: Bytes of text for each expected line key; a wrong guess changes how many keys are suspected, never the result.
+LINE_BYTES = 256
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
 SEGMENT = 1 << 16
 
@@ -131,8 +133,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lines")
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    lines = slim.select(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 0
-    bits = filter_bits(lines)
+    size = slim.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = filter_bits(size // LINE_BYTES)
     filled = slim.mapInArrow(_fill(bits, min_chars), SEGMENTS)
     merged = filled.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge, MERGED)
     # at most MAX_BITS / 8 bytes reach the driver and each executor, however many documents there are
@@ -143,6 +145,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     twice = spark.sparkContext.broadcast(zlib.compress(whole.tobytes(), 1))
     suspects = scratch.keep(slim.mapInArrow(_suspect(twice, bits, min_chars), SUSPECTS), "suspects")
     confirmed = suspects.groupBy("key").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs)
+    # written, so that both sides of the join are plain exchanges and a hot line's rows can be split among tasks
+    confirmed = scratch.keep(confirmed, "confirmed")
     drops = suspects.join(confirmed, "key").filter(F.col("id") != F.col("keeper"))
     return drops.groupBy("id").agg(F.collect_set("key").alias("keys"))
 
