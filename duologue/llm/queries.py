@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from duologue.llm import decontam, linededup, packing, secrets, simhash, toxicity, urlfilter
+from duologue.llm import ann, decontam, linededup, packing, secrets, simhash, toxicity, urlfilter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_packing": packing.op2_packing,
+    "op4_ann": ann.op4_ann,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_decontamination": decontam.op6_decontamination,
     "op7_line_dedup": linededup.op7_line_dedup,
