@@ -17,6 +17,7 @@ is null in the result. Empty tables give no pieces. Extra columns are not read.
 from __future__ import annotations
 
 import base64
+import functools
 import json
 import os
 from collections.abc import Iterator
@@ -38,6 +39,12 @@ RANKS = "byte_bpe_50k.tiktoken"
 MAX_BROADCAST_PARTITIONS = 1_000_000
 
 
+@functools.cache
+def encoder(paths: tuple[str, str]) -> Encoder:
+    """One encoder for a worker process, however many tasks it runs."""
+    return Encoder(paths)
+
+
 def tokenizer_paths(tokenizer: str = TOKENIZER, ranks: str = RANKS) -> tuple[str, str]:
     import public_tokenizers
 
@@ -76,7 +83,7 @@ def _tokenise(paths: tuple[str, str], end_id: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
         encode, part, place = None, TaskContext.get().partitionId(), 0
         for rows in slices(batches):
-            encode = encode or Encoder(paths)
+            encode = encode or encoder(paths)
             places, counts, ids = [], [], []
             for text in as_texts(rows.column(1)):
                 x = np.array([*encode(text), end_id], "<u4")
