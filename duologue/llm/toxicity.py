@@ -26,6 +26,7 @@ from math import exp, log
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -303,6 +304,20 @@ def score_toxicity(docs: DataFrame, model: tuple[Grammar, np.ndarray], id_col: s
     return slim.mapInArrow(_score(*model), SCORES)
 
 
+def _keep_clean(grammar: Grammar, weights: np.ndarray, text_at: int, threshold: float):
+    def run(batches):
+        for rows in slices(batches):
+            z = [float(grammar.features(found) @ weights) if (found := grammar.matches(t)) else float(weights[-1]) for t in as_texts(rows.column(text_at))]
+            yield rows.filter(pa.array([x < log(threshold / (1 - threshold)) for x in z], pa.bool_()))
+
+    return run
+
+
+def without_toxic(docs: DataFrame, model: tuple[Grammar, np.ndarray], text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows whose text scores below the threshold, all columns as they are; nothing is shuffled."""
+    return docs.mapInArrow(_keep_clean(*model, docs.columns.index(text_col), threshold), docs.schema)
+
+
 def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Grammar, np.ndarray]:
     scratch = Scratch(docs.sparkSession, "toxicity")
     sample = scratch.keep(training_rows(docs, labels).repartition(8), "sample")
