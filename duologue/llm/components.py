@@ -27,8 +27,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter("u <> v").distinct()
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that has an edge; root is the smallest node reachable. edges: (a, b), long, not null."""
+    scratch = Scratch(edges.sparkSession, "components")
     now = scratch.keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges-0")
     for i in range(1, MAX_ROUNDS + 1):
         after = scratch.keep(_star(_star(now, True), False), f"edges-{i}")

@@ -178,7 +178,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.keep(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = scratch.keep(prints.filter("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep")), "distinct")
-    found = components(scratch.keep(links(distinct, radius, hot, scratch), "links"), scratch)
+    found = components(scratch.keep(links(distinct, radius, hot, scratch), "links"))
     classes = distinct.join(found, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("cfp"), F.coalesce("root", "rep").alias("component"))
     return prints.join(classes, (F.col("fp") == F.col("cfp")) & F.col("id").isNotNull(), "left").select("id", "fp", "component")
 
