@@ -23,21 +23,18 @@ def count_in(toks: Column, words: Iterable[str]) -> Column:
 
 def count_phrases(toks: Column, phrases: Iterable[str]) -> Column:
     """Places in the tokens where a phrase starts; overlapping ones all count."""
-    counts = []
     by_length: dict[int, list[str]] = {}
     for p in sorted(set(phrases)):
         by_length.setdefault(len(p.split()), []).append(p)
-    for n, group in sorted(by_length.items()):
+
+    def starts(n: int, group: list[str]) -> Column:
         listed = F.array(*map(F.lit, group))
         if n == 1:
-            counts.append(F.size(F.filter(toks, lambda x, v=listed: F.array_contains(v, x))))
-        else:
-            starts = F.when(F.size(toks) >= n, F.sequence(F.lit(1), F.size(toks) - (n - 1))).otherwise(F.array().cast("array<int>"))
-            counts.append(F.size(F.filter(starts, lambda i, v=listed, k=n: F.array_contains(v, F.array_join(F.slice(toks, i, k), " ")))))
-    total = F.lit(0)
-    for c in counts:
-        total = total + c
-    return total
+            return F.size(F.filter(toks, lambda x: F.array_contains(listed, x)))
+        places = F.when(F.size(toks) >= n, F.sequence(F.lit(1), F.size(toks) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.size(F.filter(places, lambda i: F.array_contains(listed, F.array_join(F.slice(toks, i, n), " "))))
+
+    return sum((starts(n, group) for n, group in sorted(by_length.items())), F.lit(0))
 
 
 def question_type(text: Column) -> Column:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,15 +75,18 @@ def compute(corpus: Corpus, only: Iterable[str] | None = None) -> DataFrame:
     # what no session can have is not computed; its rows come from the spine
     able = [m for m in wanted if all(present.get(r, True) for r in m.spec.requires)]
     names = list(dict.fromkeys(f for m in able for f in m.facts))
-    people, dyads = corpus.spine.join(corpus.sessions.select("session_id", "duration_s", "frame_hz"), "session_id"), corpus.sessions.select("session_id", "duration_s", "frame_hz")
-    columns: list[str] = []
-    for n in names:
-        if n in PERSON_FACTS:
-            facts = PERSON_FACTS[n](corpus)
-            columns += [c for c in facts.columns if c not in ("session_id", "person")]
-            people = people.join(facts, ["session_id", "person"], "left")
-        else:
-            dyads = dyads.join(SESSION_FACTS[n](corpus), "session_id", "left")
+    base = corpus.sessions.select("session_id", "duration_s", "frame_hz")
+
+    def gathered(keys: list[str], spine: DataFrame, facts: list[DataFrame]) -> tuple[DataFrame, list[str]]:
+        """The spine with all facts' columns: one bag of rows and one aggregate, however many tables there are."""
+        columns = [c for f in facts for c in f.columns if c not in keys]
+        if not columns:
+            return spine, columns
+        bag = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), facts)
+        return spine.join(bag.groupBy(*keys).agg(*(F.max(c).alias(c) for c in columns)), keys, "left"), columns
+
+    people, columns = gathered(["session_id", "person"], corpus.spine.join(base, "session_id"), [PERSON_FACTS[n](corpus) for n in names if n in PERSON_FACTS])
+    dyads, _ = gathered(["session_id"], base, [SESSION_FACTS[n](corpus) for n in names if n in SESSION_FACTS])
     people = people.persist()
     if any(m.spec.level == "dyad" for m in able) and columns:
         pair = people.groupBy("session_id").agg(*(F.max(F.when(F.col("person") == p, F.col(c))).alias(f"{p.lower()}_{c}") for p in "AB" for c in columns))
