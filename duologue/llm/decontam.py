@@ -3,9 +3,9 @@
 One pass over the texts looks up every word n-gram among those of the test items and writes, for
 each place where a document and an item share some, the document's words there as numbers of the
 items' vocabulary. From that table come the n-grams' document counts over the whole corpus, and
-with them the seeds: n-grams in at most ``MAX_SHARE`` of all documents, and of each item the
-rarest ``KEEP_SHARE`` in any case, so that an item that leaked into a large share of the corpus
-keeps its seeds. Passages with a seed are aligned with their item, words as letters; the score
+with them the seeds. An item that leaked raises the counts of all its n-grams alike, so an n-gram
+is rare if it is found in at most ``MAX_SHARE`` of all documents beyond ``ABOVE_LEAST`` times the
+count of the item's rarest n-gram; an item always has seeds, however often it was copied. Passages with a seed are aligned with their item, words as letters; the score
 is the best local alignment's over that of the item with itself, so edited copies score high and
 chance phrases low.
 
@@ -29,7 +29,7 @@ from duologue.llm.store import Scratch
 NGRAM = 4
 MIN_SCORE = 0.4
 MATCH, MISMATCH, GAP = 2, -1, -1
-MAX_SHARE, KEEP_SHARE, KEEP_LEAST = 0.001, 0.34, 6
+MAX_SHARE, ABOVE_LEAST = 0.001, 2
 BLOCK_BYTES = 32 << 20
 PLAIN = bytes((c + 32) if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -173,16 +173,16 @@ def _align(shared, seeds):
 
 
 def _seeds(hits: DataFrame, items: Items, n_docs: int) -> set[int]:
-    """Numbers of the n-grams that are rare in the corpus, or rarest in their item. As many rows as the items have n-grams reach the driver."""
+    """Numbers of the n-grams that are rare in the corpus, beside what their item's copies add. As many rows as the items have n-grams reach the driver."""
     counted = hits.select("id", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count_distinct("id").alias("df"))
     df = np.zeros(len(items.grams), np.int64)
     for r in counted.collect():
         df[r["gram"]] = r["df"]
-    rare = set(np.flatnonzero(df <= max(1, int(MAX_SHARE * n_docs))).tolist())
+    rare: set[int] = set()
     number = np.repeat(np.arange(len(items.grams)), np.diff(items.first))
     for i in items.tokens:
         own = np.unique(number[items.item == i])
-        rare.update(own[np.argsort(df[own], kind="stable")][: max(KEEP_LEAST, int(np.ceil(KEEP_SHARE * len(own))))].tolist())
+        rare.update(own[df[own] <= max(1, MAX_SHARE * n_docs) + ABOVE_LEAST * df[own].min()].tolist())
     return rare
 
 
