@@ -34,16 +34,20 @@ class WaveletMatrix:
             vector = BitVector(bits)
             self.levels.append((shift, vector, len(symbols) - vector.ones))
             symbols = np.concatenate([symbols[bits == 0], symbols[bits == 1]])
+        #: where each symbol's occurrences begin in the last level
+        self.base = np.zeros(sigma, np.int64)
+        self.base = self.descend(np.arange(sigma), np.zeros(sigma, np.int64))
 
-    def rank(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each symbol: its occurrences before lo and before hi, both relative to ``base``; returns (base, lo, hi)."""
-        m = len(symbol)
-        at = np.concatenate([np.zeros(m, np.int64), lo, hi])
+    def descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where the occurrences of each symbol before ``at`` end in the last level."""
         for shift, vector, zeros in self.levels:
-            one = np.tile(((symbol >> shift) & 1).astype(bool), 3)
             ones = vector.rank(at)
-            at = np.where(one, zeros + ones, at - ones)
-        return at[:m], at[m : 2 * m], at[2 * m :]
+            at = np.where((symbol >> shift) & 1, zeros + ones, at - ones)
+        return at
+
+    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Occurrences of each symbol before ``at``."""
+        return self.descend(symbol, at) - self.base[symbol]
 
 
 def sorted_suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -82,6 +86,9 @@ class FMIndex:
 
         #: where the intervals of patterns of full depth, and of one symbol less, start in the suffix array
         self.full = starts(depth)
+        self.full_of = np.zeros(n, np.int64)
+        self.full_of[self.full] = 1
+        self.full_of = np.cumsum(self.full_of) - 1
         shorter = starts(depth - 1)
         of = np.zeros(n, np.int64)
         of[shorter] = 1
@@ -94,8 +101,8 @@ class FMIndex:
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One step of backward search: the intervals of symbol + pattern."""
-        base, a, b = self.wavelet.rank(symbol, lo, hi)
-        return self.before[symbol] + a - base, self.before[symbol] + b - base
+        both = self.wavelet.rank(np.concatenate([symbol, symbol]), np.concatenate([lo, hi]))
+        return self.before[symbol] + both[: len(lo)], self.before[symbol] + both[len(lo) :]
 
     def matches(self, ends: np.ndarray, sizes: np.ndarray, text: np.ndarray):
         """Streams strings text[ends - sizes : ends] from their ends; yields (string numbers, places, lo, hi) of full-depth matches.

@@ -53,10 +53,17 @@ def gram_hashes(hashes: np.ndarray, n: int = GRAM) -> np.ndarray:
     return code
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    x = np.full(n, base, np.uint64)
-    x[:1] = 1
-    return np.multiply.accumulate(x)
+    """base ** 0 .. base ** (n - 1), kept and grown as longer texts come."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        x = np.full(max(n, 4096), base, np.uint64)
+        x[0] = 1
+        known = _POWERS[base] = np.multiply.accumulate(x)
+    return known[:n]
 
 
 class Content:
@@ -85,18 +92,19 @@ def passages(hashes: np.ndarray, common: np.ndarray, span: int = SPAN) -> tuple[
     first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
     count = np.diff(np.r_[first, len(least)])
     content = Content(hashes).of(first, first + count + span - 1)
-    run = np.repeat(np.arange(len(first)), count)
-    held = np.zeros(len(first), np.int64)
-    # how often the least gram stands in each passage's words; the last passage's grams reach beyond its windows
-    ends = first + count + want - 1
-    hits = np.flatnonzero(np.isin(order, least[first]))
-    for shift in (0, 1):
-        owner = np.minimum(np.searchsorted(first, hits, "right") - 1, len(first) - 1) - shift
-        ok = owner >= 0
-        ok[ok] &= (order[hits[ok]] == least[first[owner[ok]]]) & (hits[ok] < ends[owner[ok]])
-        np.add.at(held, owner[ok], 1)
-    del run
-    return least[first], content, first, count, np.where(held > 1, 2, 1)
+    times = np.ones(len(first), np.int64)
+    in_order = np.sort(order)
+    if (in_order[1:] == in_order[:-1]).any():
+        # how often the least gram stands in each passage's words; the last windows of one reach into the next
+        ends, held = first + count + want - 1, np.zeros(len(first), np.int64)
+        hits = np.flatnonzero(np.isin(order, least[first]))
+        for back in range(want):
+            owner = np.searchsorted(first, hits, "right") - 1 - back
+            ok = owner >= 0
+            ok[ok] &= (order[hits[ok]] == least[first[owner[ok]]]) & (hits[ok] < ends[owner[ok]])
+            np.add.at(held, owner[ok], 1)
+        times[held > 1] = 2
+    return least[first], content, first, count, times
 
 
 PASSAGES, PASSAGES_ARROW = out("gram long, content long, id long, at int, windows int, times int")
@@ -181,7 +189,7 @@ def search_shard(strings: list[bytes], ids: np.ndarray, at: np.ndarray, span: in
     best = np.minimum.reduceat(rank[index.order], index.full)
     found: list[list[int]] = [[] for _ in strings]
     for live, spot, lo, hi in index.matches(ends, sizes, text):
-        group = np.searchsorted(index.full, lo, "right") - 1
+        group = index.full_of[lo]
         for k in np.flatnonzero(best[group] != rank[spot]).tolist():
             found[live[k]].append(int(spot[k] - (ends - sizes)[live[k]]))
     return [np.array(f, np.int32).tobytes() if f else None for f in found]
