@@ -10,6 +10,7 @@ import atexit
 import contextlib
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,5 +51,7 @@ class Scratch:
 
     def release(self) -> None:
         """Lets Spark's cleaner delete the shuffle files of stages that are over."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # proxies of Python objects are let go between the two
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.2)

@@ -174,11 +174,14 @@ FOUND, FOUND_ARROW = out("gram long, content long, first_id long, first_at int,
 
 def search_shard(strings: list[bytes], ids: np.ndarray, at: np.ndarray, span: int) -> list[bytes | None]:
     """For each string the numbers of its windows that start earlier in another place than the string's own first, or None."""
-    symbol: dict[bytes, int] = {}
-    numbers = [[symbol.setdefault(w, len(symbol) + 1) for w in s.split(b" ")] for s in strings]
-    sizes = np.array([len(x) for x in numbers])
-    text = np.concatenate([np.array([*x, 0], np.int64) for x in numbers])
+    words = b" ".join(strings).split(b" ")
+    symbol = {w: k for k, w in enumerate(dict.fromkeys(words), 1)}
+    sizes = np.array([s.count(b" ") + 1 for s in strings])
     ends = np.cumsum(sizes + 1) - 1
+    text = np.zeros(ends[-1] + 1, np.int64)  # a zero stands after each string
+    inside = np.ones(len(text), bool)
+    inside[ends] = False
+    text[inside] = np.fromiter(map(symbol.__getitem__, words), np.int64, len(words))
     index = FMIndex(text, len(symbol) + 1, span)
     owner = np.repeat(np.arange(len(strings)), sizes + 1)
     place = at[owner] + np.arange(len(text)) - (ends - sizes)[owner]
@@ -223,6 +226,15 @@ def _search(span: int):
     return run
 
 
+def _searched(slim: DataFrame, suspects: DataFrame, span: int) -> DataFrame:
+    """The distinct strings of suspected passages, dealt out by gram and searched. Its frames end with the call, so that their shuffle files can go."""
+    firsts = suspects.groupBy("gram", "content").agg(F.min(F.struct("id", "at")).alias("first"), F.max("windows").alias("windows"))
+    wanted = firsts.groupBy(F.col("first.id").alias("wid")).agg(F.collect_list(F.struct(F.col("first.at").alias("at"), "windows", "gram", "content")).alias("wanted"))
+    strings = slim.join(wanted.hint("shuffle_hash"), F.col("id") == F.col("wid")).select("id", "text", "wanted").mapInArrow(_extract(span), STRINGS)
+    dealt = strings.repartition("gram").sortWithinPartitions("gram", "content")
+    return dealt.mapInArrow(_search(span), FOUND)
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, scratch: Scratch | None = None) -> DataFrame:
     """(id, runs): for each document its passages with windows that start earlier somewhere: (at, windows, content, which), which null for all."""
     spark = docs.sparkSession
@@ -233,11 +245,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spa
     often = scratch.keep(every.groupBy("gram").agg(F.sum("times").alias("n")).filter("n > 1").select("gram"), "often")
     suspects = scratch.keep(every.join(often, "gram", "left_semi").drop("times"), "suspects")
     scratch.drop("passages", "often")
-    firsts = suspects.groupBy("gram", "content").agg(F.min(F.struct("id", "at")).alias("first"), F.max("windows").alias("windows"))
-    wanted = firsts.groupBy(F.col("first.id").alias("wid")).agg(F.collect_list(F.struct(F.col("first.at").alias("at"), "windows", "gram", "content")).alias("wanted"))
-    strings = slim.join(wanted.hint("shuffle_hash"), F.col("id") == F.col("wid")).select("id", "text", "wanted").mapInArrow(_extract(span), STRINGS)
-    dealt = strings.repartition("gram").sortWithinPartitions("gram", "content")
-    found = scratch.keep(dealt.mapInArrow(_search(span), FOUND), "found")
+    found = scratch.keep(_searched(slim, suspects, span), "found")
     scratch.release()
     judged = suspects.join(found, ["gram", "content"])
     own = (F.col("id") == F.col("first_id")) & (F.col("at") == F.col("first_at"))
