@@ -1,13 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, each passage's own, then Smith-Waterman alignment.
 
-One pass over the texts looks up every word n-gram among those of the test items and writes, for
-each place where a document and an item share some, the document's words there as numbers of the
-items' vocabulary. From that table come the n-grams' document counts over the whole corpus, and
-with them the seeds. An item that leaked raises the counts of all its n-grams alike, so an n-gram
-is rare if it is found in at most ``MAX_SHARE`` of all documents beyond ``ABOVE_LEAST`` times the
-count of the item's rarest n-gram; an item always has seeds, however often it was copied. Passages with a seed are aligned with their item, words as letters; the score
-is the best local alignment's over that of the item with itself, so edited copies score high and
-chance phrases low.
+One pass over the texts looks up every word n-gram among those of the test items; the places where
+a document and an item share some, on diagonals close together, are a passage. Rarity is judged
+inside a passage and not in the corpus: its rarest n-gram is its seed, whatever that n-gram's count,
+for a leaked item raises the counts of its n-grams, and edited copies those of some only. So every
+passage has a seed, and none is left out for being common. What spares work instead is exact: no alignment scores
+more than the words that passage and item have in common, so passages with too few of them are not
+aligned. The score is the best local alignment's over that of the item with itself, words as
+letters, so edited copies score high and chance phrases low.
 
 The items travel to the tasks in blocks of at most ``BLOCK_BYTES`` of text; a larger benchmark is
 handled block by block, each with a pass of its own.
@@ -24,12 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duologue.llm.batches import as_bytes, batch, out, slices
-from duologue.llm.store import Scratch
 
 NGRAM = 4
 MIN_SCORE = 0.4
 MATCH, MISMATCH, GAP = 2, -1, -1
-MAX_SHARE, ABOVE_LEAST = 0.001, 2
 BLOCK_BYTES = 32 << 20
 PLAIN = bytes((c + 32) if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -75,10 +73,18 @@ class Items:
         self.item, self.place = item[order], place[order]
 
 
-HITS, HITS_ARROW = out("id long, item long, at long, passage binary, grams array<long>")
+def in_common(item: np.ndarray, passage: np.ndarray) -> int:
+    """Words of the item that the passage has too, repeated ones as often as in both: no alignment matches more."""
+    word, n = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(word, passage), len(word) - 1)
+    there = np.bincount(at[word[at] == passage], minlength=len(word))
+    return int(np.minimum(n, there).sum())
 
 
-def _find(shared):
+HITS, HITS_ARROW = out("id long, item long, at long, passage binary")
+
+
+def _find(shared, min_score: float):
     def run(batches):
         items: Items = shared.value
         for rows in slices(batches):
@@ -107,19 +113,20 @@ def _find(shared):
             hit = items.grams[spot] == code
             at, spot = at[hit], spot[hit]
             doc = np.searchsorted(starts, at, "right") - 1
-            found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            found: dict[tuple[int, int], list[int]] = {}
             for p, g, d in zip(at.tolist(), spot.tolist(), doc.tolist()):
                 for k in range(items.first[g], items.first[g + 1]):
-                    found.setdefault((d, int(items.item[k])), []).append((p - int(starts[d]) - int(items.place[k]), g))
+                    found.setdefault((d, int(items.item[k])), []).append(p - int(starts[d]) - int(items.place[k]))
             for (d, item), hits in found.items():
                 size, pad = len(items.tokens[item]), len(items.tokens[item]) // 4 + 2
                 hits.sort()
                 group = [hits[0]]
                 for h in [*hits[1:], None]:
-                    if h is None or h[0] - group[-1][0] > pad:  # diagonals far apart are different passages
-                        a, b = max(0, group[0][0] - pad), min(int(sizes[d]), group[-1][0] + size + pad)
+                    if h is None or h - group[-1] > pad:  # diagonals far apart are different passages
+                        a, b = max(0, group[0] - pad), min(int(sizes[d]), group[-1] + size + pad)
                         passage = ids[starts[d] + a : starts[d] + b]
-                        out_rows.append((docs[d][0], item, a, passage.tobytes(), sorted({g for _, g in group})))
+                        if in_common(items.tokens[item], passage) >= min_score * size:
+                            out_rows.append((docs[d][0], item, a, passage.tobytes()))
                         group = []
                     if h is not None:
                         group.append(h)
@@ -155,37 +162,21 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
 SCORED, SCORED_ARROW = out("id long, item long, score double, start long, end long, length long")
 
 
-def _align(shared, seeds):
+def _align(shared):
     def run(batches):
         items: Items = shared.value
-        rare = seeds.value
         for rows in slices(batches):
             done = []
-            for i, item, at, passage, grams in zip(*(c.to_pylist() for c in rows.columns)):
-                if any(g in rare for g in grams):
-                    tokens = items.tokens[item]
-                    score, a, b = align(tokens, np.frombuffer(passage, np.int32))
-                    done.append((i, item, score, at + a, at + b, len(tokens)))
+            for i, item, at, passage in zip(*(c.to_pylist() for c in rows.columns)):
+                tokens = items.tokens[item]
+                score, a, b = align(tokens, np.frombuffer(passage, np.int32))
+                done.append((i, item, score, at + a, at + b, len(tokens)))
             if done:
                 yield batch(SCORED_ARROW, *map(list, zip(*done)))
 
     return run
 
 
-def _seeds(hits: DataFrame, items: Items, n_docs: int) -> set[int]:
-    """Numbers of the n-grams that are rare in the corpus, beside what their item's copies add. As many rows as the items have n-grams reach the driver."""
-    counted = hits.select("id", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count_distinct("id").alias("df"))
-    df = np.zeros(len(items.grams), np.int64)
-    for r in counted.collect():
-        df[r["gram"]] = r["df"]
-    rare: set[int] = set()
-    number = np.repeat(np.arange(len(items.grams)), np.diff(items.first))
-    for i in items.tokens:
-        own = np.unique(number[items.item == i])
-        rare.update(own[df[own] <= max(1, MAX_SHARE * n_docs) + ABOVE_LEAST * df[own].min()].tolist())
-    return rare
-
-
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[list[tuple[int, bytes]]]:
     """The items in blocks of bounded size; a block at a time is in memory."""
     blocks, now, size = [], [], 0
@@ -203,18 +194,15 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[list[tup
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = NGRAM, min_score: float = MIN_SCORE) -> DataFrame:
     """(id, item, score, start, end): documents that hold a test item, with the words where its best alignment lies."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "decontam")
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    n_docs, found = None, spark.createDataFrame([], "id long, item long, score double, start long, end long")
-    for k, rows in enumerate(_blocks(benchmark, item_col, item_text_col)):
+    found = spark.createDataFrame([], "id long, item long, score double, start long, end long")
+    for rows in _blocks(benchmark, item_col, item_text_col):
         items = Items(rows, n)
         if not len(items.grams):
             continue
-        n_docs = docs.count() if n_docs is None else n_docs
         shared = spark.sparkContext.broadcast(items)
-        hits = scratch.keep(slim.mapInArrow(_find(shared), HITS), f"hits-{k}")
-        seeds = spark.sparkContext.broadcast(_seeds(hits, items, n_docs))
-        scored = hits.repartition("id").mapInArrow(_align(shared, seeds), SCORED).filter(F.col("score") >= min_score)
+        hits = slim.mapInArrow(_find(shared, min_score), HITS)
+        scored = hits.repartition("id").mapInArrow(_align(shared), SCORED).filter(F.col("score") >= min_score)
         best = scored.groupBy("id", "item").agg(F.max(F.struct("score", F.negative("start").alias("s"), "end")).alias("x"))
         found = found.unionByName(best.select("id", "item", "x.score", F.negative("x.s").alias("start"), "x.end"))
     return found

@@ -99,6 +99,24 @@ def test_leaks(spark, docs_of):
     assert decontam.contaminated(docs_of("x").limit(0), items).count() == 0 and decontam.contaminated(docs_of("x"), items.limit(0)).count() == 0
 
 
+def test_edited_leaks_in_many_documents(spark, docs_of):
+    """An item known only as edited copies, and one that a few exact copies accompany."""
+    filler, w = " ".join(f"f{i}" for i in range(200)), ITEM.split()
+    copy = " ".join("new" if k % 6 == 5 else x for k, x in enumerate(w))
+    items = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    for exact in (0, 2):
+        texts = [filler] * 20 + [f"{i} {copy} {i}" for i in range(40)] + [ITEM] * exact
+        got = {r["id"] for r in decontam.contaminated(docs_of(*texts), items).collect()}
+        assert got == set(range(20, 60 + exact)), exact
+
+
+def test_words_in_common_bound_alignment():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        a, b = rng.integers(0, 9, rng.integers(1, 25)), rng.integers(-1, 12, rng.integers(0, 40))
+        assert decontam.align(a, b)[0] * len(a) <= decontam.in_common(a, b)
+
+
 def test_leaks_odd_rows_and_blocks(spark, odd, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 10)
     items = spark.createDataFrame([(1, "plain words stand here one after another and end"), (2, ITEM)], "item_id long, text string")
