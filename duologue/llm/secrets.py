@@ -33,7 +33,9 @@ ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 CONTEXT_WORDS = ("key", "secret", "token", "auth", "credential", "bearer", "private", "passw", "pwd", "passphrase", "signature", "webhook", "session", "cookie")
 CONTEXT = re.compile("|".join(CONTEXT_WORDS), re.ASCII)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.ASCII)
+MIN_CANDIDATE = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_CANDIDATE},}}", re.ASCII)
+PART = re.compile("[^=]+")
 #: A sensitive word stands within so many characters before a candidate.
 REACH = 48
 AROUND = 256
@@ -88,12 +90,20 @@ def novel_spans(text: str, taken: list[tuple[str, int, int]], novelty: Novelty,
     if len(low) != len(text):  # some letters have longer lower-case forms
         low = "".join(c.lower() if c.isascii() else c for c in text)
     spans = []
+
+    def judge(a: int, b: int) -> bool:
+        new = CONTEXT.search(low, max(0, a - REACH), a) and not any(s < b and a < e for _, s, e in taken) and novelty(text, a, b) >= least
+        if new:
+            spans.append(("novel", a, b))
+        return bool(new)
+
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        string = m[0].strip("=-_/+")
-        mixed = len(string) >= 16 and any(c.isdigit() for c in string) and any(c.isalpha() for c in string)
-        if mixed and CONTEXT.search(low, max(0, a - REACH), a) and not any(s < b and a < e for _, s, e in taken) and novelty(text, a, b) >= least:
-            spans.append(("novel", a, b))
+        # NAME=value: a name is context of its value; equals signs at the end are padding
+        parts = [(a + p.start(), a + p.end()) for p in PART.finditer(m[0])]
+        parts = [(s, b if e == parts[-1][1] else e) for s, e in parts]
+        if not any([judge(s, e) for s, e in parts if e - s >= MIN_CANDIDATE]) and parts != [(a, b)]:
+            judge(a, b)
     return spans
 
 

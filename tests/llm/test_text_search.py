@@ -207,6 +207,16 @@ def test_novelty():
     assert found("password = q8Zt1Lw0PzX7rYb2NcV5mKd9") == []  # the pattern has it already
 
 
+def test_novelty_of_values_behind_their_names():
+    novelty = secrets.Novelty()
+    found = lambda t: [t[a:b] for _, a, b in secrets.novel_spans(t, secrets.base_spans(t), novelty)]
+    assert found("PRIVATE_KEY=9fJ2kLm4Qx7Zb3Tn8Wv1") == ["9fJ2kLm4Qx7Zb3Tn8Wv1"]
+    assert found("see pwd=Zk29dLq83MxPw71b") == ["Zk29dLq83MxPw71b"] and found("https://x.org/a?signature=Ab83kd92LsQ01zPq7Vx&v=2") == ["Ab83kd92LsQ01zPq7Vx"]
+    assert found("the key is q8Zt1Lw0PzX7=rYb2NcV5mKd9") == ["q8Zt1Lw0PzX7=rYb2NcV5mKd9"]  # parts too short to judge alone
+    assert found("AUTH=q8Zt1Lw0PzX7rYb2NcV5mA==") == ["q8Zt1Lw0PzX7rYb2NcV5mA=="]
+    assert found("PRIVATE_KEY=QxZbTnWvKjHgPdLs") == ["QxZbTnWvKjHgPdLs"] and found("pin of the key: 8305172946380517") == ["8305172946380517"]
+
+
 def test_secrets_odd_rows(odd):
     rows = secrets.find_secrets(odd).collect()
     assert len(rows) == 8 and all(r["base"] == "" and r["spans"] == "" for r in rows)
