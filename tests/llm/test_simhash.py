@@ -111,6 +111,23 @@ def test_near_duplicates(docs_of, block):
     assert ids == {0, 1}
 
 
+def test_families_joined_by_one_pair_of_different_blocks(docs_of):
+    """Two families of near copies, of which only the two originals are similar to each other."""
+    first = [f"w{k}" for k in range(130)]
+    second = [f"u{k}" if k in (4, 12) else w for k, w in enumerate(first)]
+
+    def copies(words, mark):
+        return [" ".join(f"{mark}{k}" if k == at else w for k, w in enumerate(words)) for at in range(20, 125, 2)]
+
+    texts = [*copies(first, "a"), *copies(second, "b")]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in [*texts, " ".join(first), " ".join(second)])]
+    n, close = len(texts) // 2, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    sides = [[*range(n), 2 * n], [*range(n, 2 * n), 2 * n + 1]]
+    assert [(a, b) for a in sides[0] for b in sides[1] if close(a, b)] == [(2 * n, 2 * n + 1)]
+    got = {r["id"]: r["group"] for r in neardup.near_duplicates(docs_of(*texts, " ".join(first), " ".join(second)), block=12).collect()}
+    assert got == dict.fromkeys(range(2 * n + 2), 0)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(70)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
