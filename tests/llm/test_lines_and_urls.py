@@ -83,6 +83,24 @@ def test_urls(spark):
         urlfilter.filter_urls(pages, rules=[urlfilter.Rule("x", "x", (), "block")])
 
 
+def test_many_rules_as_literal_and_as_table(spark):
+    """A hash table in the plan and a joined table of rules judge alike; both take any number of rules."""
+    long_url = "http://x.example.net/" + "a/" * 20_000 + "casino"
+    urls = [u[0] for u in URLS] + [long_url, "http://s77.test/p/q", "http://www.s4000.test/p/1", URLS[0][0], "http://a.b/zz", "http://casino-poker.net/"]
+    pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)] + [(None, None, None)], "page_id long, url string, token string")
+    rules = [*urlfilter.DEFAULT_RULES, *(urlfilter.prefix_rule("block", f"s{i}.test/p/") for i in range(12_000))]
+    rows = lambda limit: sorted(map(tuple, urlfilter.filter_urls(pages, rules=rules, limit=limit).collect()), key=repr)
+    got = rows(8 << 20)
+    assert got == rows(0) and len(got) == len(urls) + 1
+    by_url = {r[1][:60]: r for r in got if r[1]}
+    assert by_url["http://s77.test/p/q"][5] == "s77.test/p/" and by_url["http://www.s4000.test/p/1"][7] == "block"
+    # words of equal length and tier: the last in order wins
+    assert by_url["http://casino-poker.net/"][6] == "||casino^" and by_url[long_url[:60]][7] == "allow"
+    equal = [urlfilter.host_word_rule("aaaa"), urlfilter.host_word_rule("bbbb")]
+    one = urlfilter.filter_urls(spark.createDataFrame([(1, "http://aaaa.bbbb/")], "page_id long, url string"), rules=equal).first()
+    assert one["pattern"] == "||bbbb^"
+
+
 def test_urls_are_native(spark, sf):
     plan = urlfilter.op10_url_filter(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Exchange"))
