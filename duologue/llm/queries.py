@@ -15,9 +15,11 @@ QUERIES = {
     "op8_secrets": secrets.op8_secrets,
     "op9_substring_dedup": substring.op9_substring_dedup,
     "op10_url_filter": urlfilter.op10_url_filter,
+    "op8_base_patterns": secrets.op8_base_patterns,
 }
 SQL = {
     "op3_warc_revisits": warc.SQL,
     "op7_line_dedup": linededup.SQL,
     "op10_url_filter": urlfilter.SQL,
+    "op8_base_patterns": secrets.SQL,
 }

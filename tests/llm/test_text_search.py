@@ -217,6 +217,96 @@ def test_novelty_of_values_behind_their_names():
     assert found("PRIVATE_KEY=QxZbTnWvKjHgPdLs") == ["QxZbTnWvKjHgPdLs"] and found("pin of the key: 8305172946380517") == ["8305172946380517"]
 
 
+def brute_base(text):
+    """The base spans by scanning every place, without regular expressions."""
+    spans, lower = [], "".join(c.lower() if c.isascii() else c for c in text)
+    letters = lambda ok, i: next((k for k in range(i, len(text)) if text[k] not in ok), len(text))
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    value = upper + upper.lower() + digits + "+/_.=-"
+
+    def assign(i):
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if lower.startswith(name, i):
+                k = i + len(name)
+                k += text[k : k + 1] in ("'", '"') and k < len(text)
+                k = letters(" ", k)
+                if text[k : k + 1] not in (":", "=") or k >= len(text):
+                    continue
+                k = letters(" ", k + 1)
+                k += text[k : k + 1] in ("'", '"') and k < len(text)
+                if (e := letters(value, k)) > k:
+                    return e, e - k >= 8
+        return None
+
+    def access(i):
+        return (e, e - i >= 16) if text.startswith("AKIA", i) and (e := letters(upper + digits, i + 4)) > i + 4 else None
+
+    def hexes(i):
+        return (e, e - i >= 32) if (e := letters(digits + "abcdef", i)) > i else None
+
+    for rank, (kind, read) in enumerate((("assign", assign), ("access", access), ("hex", hexes))):
+        i = 0
+        while i < len(text):
+            if (hit := read(i)) is None:
+                i += 1
+                continue
+            if hit[1]:
+                spans.append((i, rank, hit[0], kind))
+            i = hit[0]
+    return [(k, a, b) for a, _, b, k in sorted(spans)]
+
+
+def test_base_spans_against_brute_force():
+    rng = random.Random(11)
+    bits = ["password", "PASSWD", "secret", "Token", "api_key", "APIkey", "=", ":", " ", "  ", '"', "'", "abc", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "é", "\n", "x/+y", "-", "k\u212a"]
+    for _ in range(1500):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(30)))
+        assert secrets.base_spans(text) == brute_base(text), text
+
+
+def test_many_spans_in_one_text_take_linear_time():
+    import time
+
+    novelty, took = secrets.Novelty(), []
+    for n in (2_000, 16_000):
+        text = " ".join(f"password=abcdefgh{i:05d} key {'plainwords' * 2}" for i in range(n))
+        began = time.perf_counter()
+        base = secrets.base_spans(text)
+        assert len(base) == n
+        list(secrets.candidates(text, base))
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * 4 * took[0]
+
+
+def test_words_of_the_corpus_prime_the_compressor(docs_of):
+    rng = random.Random(5)
+    name = "Quabbelwobbeltrill"
+    texts = [f"{rng.random()} the session {name}{name} {rng.random()}" for _ in range(40)]
+    key = "".join(rng.choice("abcdefghijkLMNOPQRSTUVWXYZ0123456789") for _ in range(24))
+    copies = [f"copied text with the key {key} in it"] * 30
+    docs = docs_of(*texts, *copies, None, "", f"key: {name}")
+    words = secrets.learned_words(docs)
+    assert name in words.split() and "copied" not in words.split()
+    rows = {r["id"]: r["spans"] for r in secrets.find_secrets(docs).collect()}
+    assert len(rows) == 73 and all(rows[i] for i in range(40, 70)) and rows[72] == ""
+    assert secrets.learned_words(docs.limit(0)) == ""
+
+
+def test_novelty_finds_planted_keys_and_leaves_words():
+    """Keys of five alphabets and identifiers built of words, planted beside sensitive words."""
+    rng, novelty = random.Random(3), secrets.Novelty()
+    words = "session request header value database manager handler factory update remove client server account holder index table".split()
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789abcdefghjkmnpqrstvwxyz"]
+    hit = false = 0
+    for i in range(400):
+        key = "".join(rng.choice(alphabets[i % 5]) for _ in range(rng.randrange(20, 44)))
+        name = "".join(rng.choice(words).title() for _ in range(3))
+        hit += any(text[a:b] == key for text in [f"the private credential is {key} , keep it"] for _, a, b in secrets.novel_spans(text, secrets.base_spans(text), novelty))
+        text = f"the private credential of {' '.join(words)} is {name} , keep it"
+        false += bool(secrets.novel_spans(text, secrets.base_spans(text), novelty))
+    assert hit >= 0.98 * 400 and false <= 0.02 * 400, (hit, false)
+
+
 def test_secrets_odd_rows(odd):
     rows = secrets.find_secrets(odd).collect()
     assert len(rows) == 8 and all(r["base"] == "" and r["spans"] == "" for r in rows)
