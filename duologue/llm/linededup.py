@@ -1,12 +1,14 @@
 """Line deduplication with two Bloom filters.
 
-Pass 1 streams the texts: every task fills a filter of line keys seen once and one of keys seen
-twice, and ships the non-empty segments of both, compressed. Segments merge associatively --
-``twice |= twice' | once & once'`` -- so a key that occurs in two documents is always in the
-merged twice filter. Pass 2 tests every key against it; only suspected repeats are shuffled, as
-SHA-256 digests, for exact counting and for the choice of the document that keeps the line.
-A filter's size follows the number of lines up to ``MAX_BITS``; beyond that more keys are
-suspected and shuffled, and the result stays exact.
+Pass 1 reads the texts and sends the hash of each line key, once for each batch of documents, to the
+slice of the filters that the hash belongs to. A slice holds about ``SLICE_KEYS`` keys, so there are
+as many slices as the lines need, and each is filled by one task: a key that comes again is put into
+the twice filter, and the once filter is forgotten. Pass 2 tests every key against the twice filter;
+only suspected repeats are shuffled, as SHA-256 digests, for exact counting and for the choice of
+the document that keeps the line. Up to ``BROADCAST_SLICES`` slices the twice filter travels to the
+texts. Beyond that the keys travel to the slices; a key that comes twice in one batch is a suspect
+for certain and skips the filter, so a line that a third of all documents hold floods no slice.
+Both ways suspect alike, apart from chance hits, and the result is exact.
 
 Null or empty texts: one empty line. Rows without an id hold no line for counting and keep all
 theirs. Rows that repeat an id count as one document. Empty tables give empty results. The
@@ -31,11 +33,12 @@ SPACE = " \t\n\r\x0b\x0c"
 UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 MIN_CHARS, MIN_DOCS = 40, 5
 HASHES = 4
-BITS_PER_LINE = 12
-#: Bytes of text for each expected line key; a wrong guess changes how many keys are suspected, never the result.
-LINE_BYTES = 256
-MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
-SEGMENT = 1 << 16
+#: Keys of one slice, and bits of each of its two filters: 16 a key.
+SLICE_KEYS, SLICE_BITS = 1 << 20, 1 << 24
+#: Slices whose twice filters are broadcast, of 2 MB each; with more, keys are sent to them.
+BROADCAST_SLICES = 16
+#: Places of a task's memory of the keys it has sent, so that it sends frequent ones twice at most.
+REMEMBERED = 1 << 17
 
 
 def line_key(line: str) -> str:
@@ -47,8 +50,10 @@ def _keys(text: str, min_chars: int) -> set[str]:
 
 
 def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """HASHES bit places for each 64-bit hash, by double hashing."""
-    a, b = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(32)) | np.uint64(1)
+    """HASHES bit places for each 64-bit hash, by double hashing of the mixed hash."""
+    mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(32)
+    a, b = mixed & np.uint64(0xFFFFFFFF), (mixed >> np.uint64(32)) | np.uint64(1)
     return np.stack([(a + np.uint64(i) * b) % np.uint64(bits) for i in range(HASHES)]).astype(np.int64)
 
 
@@ -56,96 +61,177 @@ def _hashes(keys) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(k) for k in keys], dtype=np.uint64)
 
 
-def filter_bits(lines: int) -> int:
-    want = max(MIN_BITS, lines * BITS_PER_LINE)
-    return min(MAX_BITS, 1 << (want - 1).bit_length())
+class Filter:
+    """A Bloom filter of fixed size."""
 
+    def __init__(self, bits: int, data: bytes | None = None):
+        self.bits = bits
+        self.bytes = np.zeros(bits // 8, np.uint8) if data is None else np.frombuffer(data, np.uint8)
 
-SEGMENTS, SEGMENTS_ARROW = out("segment int, once binary, twice binary")
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = _places(hashes, self.bits)
+        return ((self.bytes[at >> 3] & np.left_shift(1, at & 7).astype(np.uint8)) != 0).all(axis=0)
 
+    def add(self, hashes: np.ndarray) -> None:
+        at = _places(hashes, self.bits).ravel()
+        np.bitwise_or.at(self.bytes, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+
+    def packed(self) -> bytes:
+        return zlib.compress(self.bytes.tobytes(), 1)
+
+
+def slices_for(keys: int) -> int:
+    return max(1, -(-keys // SLICE_KEYS))
+
+
+def _slice_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    return ((hashes >> np.uint64(1)) % np.uint64(n)).astype(np.int64)
+
+
+SEEN, SEEN_ARROW = out("hash long, again boolean")
+
+
+def _sight(min_chars: int):
+    """Hashes of line keys: each once a batch, marked where it came again, and no more once that is known."""
 
-def _fill(bits: int, min_chars: int):
     def run(batches):
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        filled = False
+        once, twice = np.zeros(REMEMBERED, np.uint64), np.zeros(REMEMBERED, np.uint64)
         for part in slices(batches):
             keys = [k for i, t in zip(part.column(0).to_pylist(), as_texts(part.column(1))) if i is not None for k in _keys(t, min_chars)]
             if not keys:
                 continue
-            filled = True
             hashes, times = np.unique(_hashes(keys), return_counts=True)
-            at = _places(hashes, bits)
-            byte, bit = at >> 3, np.left_shift(1, at & 7).astype(np.uint8)
-            again = ((once[byte] & bit) != 0).all(axis=0) | (times > 1)
-            np.bitwise_or.at(twice, byte[:, again].ravel(), bit[:, again].ravel())
-            np.bitwise_or.at(once, byte.ravel(), bit.ravel())
-        if filled:
-            width = SEGMENT // 8
-            o, t = once.reshape(-1, width), twice.reshape(-1, width)
-            full = np.flatnonzero(o.any(axis=1))
-            for at in range(0, len(full), 256):
-                some = full[at : at + 256]
-                yield batch(SEGMENTS_ARROW, some.astype(np.int32), [zlib.compress(o[i].tobytes(), 1) for i in some], [zlib.compress(t[i].tobytes(), 1) for i in some])
+            at = (hashes % np.uint64(REMEMBERED)).astype(np.int64)
+            again = (times > 1) | (once[at] == hashes)
+            once[at] = hashes
+            new = ~again | (twice[at] != hashes)
+            twice[at[again]] = hashes[again]
+            yield batch(SEEN_ARROW, hashes[new].view(np.int64), again[new])
 
     return run
 
 
-MERGED, MERGED_ARROW = out("segment int, twice binary")
+FILTERS, FILTERS_ARROW = out("slice long, twice binary")
 
 
-def _merge(batches):
-    now, once, twice = None, None, None
-    for b in batches:
-        for segment, o, t in zip(*(c.to_pylist() for c in b.columns)):
-            o, t = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (o, t))
-            if segment != now:
-                if now is not None and twice.any():
-                    yield batch(MERGED_ARROW, [now], [zlib.compress(twice.tobytes(), 1)])
-                now, once, twice = segment, o, t
-            else:
-                twice = twice | t | (once & o)
-                once = once | o
-    if now is not None and twice.any():
-        yield batch(MERGED_ARROW, [now], [zlib.compress(twice.tobytes(), 1)])
+def _fill(bits: int):
+    """The twice filter of each slice, from its hashes; rows are sorted by slice."""
+
+    def run(batches):
+        now, once, twice = None, None, None
+        for b in batches:
+            slice_, hashes, marked = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy(zero_copy_only=False)
+            for s in np.unique(slice_):
+                if s != now:
+                    if now is not None:
+                        yield batch(FILTERS_ARROW, [now], [twice.packed()])
+                    now, once, twice = int(s), Filter(bits), Filter(bits)
+                own = slice_ == s
+                some, first, times = np.unique(hashes[own], return_index=True, return_counts=True)
+                again = (times > 1) | once.has(some)
+                again |= np.isin(some, hashes[own & marked])
+                twice.add(some[again])
+                once.add(some)
+        if now is not None:
+            yield batch(FILTERS_ARROW, [now], [twice.packed()])
+
+    return run
 
 
 SUSPECTS, SUSPECTS_ARROW = out("key binary, id long")
 
 
-def _suspect(twice_b, bits: int, min_chars: int):
+def _digest(key: str) -> bytes:
+    return hashlib.sha256(key.encode("utf-8", "surrogatepass")).digest()
+
+
+def _suspect(filters_b, n: int, bits: int, min_chars: int):
+    """Suspected (key, id), by the broadcast filters."""
+
     def run(batches):
-        twice = np.frombuffer(zlib.decompress(twice_b.value), np.uint8)
+        filters = [Filter(bits, zlib.decompress(f)) if f else None for f in filters_b.value]
         for part in slices(batches):
             rows = [(k, i) for i, t in zip(part.column(0).to_pylist(), as_texts(part.column(1))) if i is not None for k in _keys(t, min_chars)]
             if not rows:
                 continue
-            at = _places(_hashes(k for k, _ in rows), bits)
-            seen = ((twice[at >> 3] & np.left_shift(1, at & 7).astype(np.uint8)) != 0).all(axis=0)
+            hashes = _hashes(k for k, _ in rows)
+            slice_, seen = _slice_of(hashes, n), np.zeros(len(rows), bool)
+            for s in np.unique(slice_):
+                own = slice_ == s
+                seen[own] = filters[s].has(hashes[own]) if filters[s] else False
             some = [rows[i] for i in np.flatnonzero(seen)]
             if some:
-                yield batch(SUSPECTS_ARROW, [hashlib.sha256(k.encode("utf-8", "surrogatepass")).digest() for k, _ in some], [i for _, i in some])
+                yield batch(SUSPECTS_ARROW, [_digest(k) for k, _ in some], [i for _, i in some])
+
+    return run
+
+
+KEYED, KEYED_ARROW = out("slice long, hash long, key binary, id long, sure boolean")
+
+
+def _keyed(n: int, min_chars: int):
+    """Every line key with its slice; sure where it comes twice in one batch of documents."""
+
+    def run(batches):
+        for part in slices(batches):
+            rows = [(k, i) for i, t in zip(part.column(0).to_pylist(), as_texts(part.column(1))) if i is not None for k in _keys(t, min_chars)]
+            if rows:
+                hashes = _hashes(k for k, _ in rows)
+                _, which, times = np.unique(hashes, return_inverse=True, return_counts=True)
+                yield batch(KEYED_ARROW, _slice_of(hashes, n), hashes.view(np.int64), [_digest(k) for k, _ in rows], [i for _, i in rows], times[which] > 1)
 
     return run
 
 
+def _test(bits: int):
+    """Suspected (key, id) of rows that are sorted by slice, each slice's filter first (its id is null)."""
+
+    def run(batches):
+        now, twice = None, None
+        for b in batches:
+            for part in slices([b], 4096):
+                slice_, ids = part.column(0).to_numpy(), part.column(3)
+                loads = np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False)).tolist()
+                bounds = sorted({0, *loads, *(np.flatnonzero(slice_[1:] != slice_[:-1]) + 1).tolist(), len(slice_)})
+                for lo, hi in zip(bounds, bounds[1:]):
+                    if lo in loads:
+                        now, twice = int(slice_[lo]), Filter(bits, zlib.decompress(part.column(2)[lo].as_py()))
+                        lo += 1
+                    if lo < hi and slice_[lo] == now:
+                        seen = twice.has(part.column(1).slice(lo, hi - lo).to_numpy().view(np.uint64))
+                        some = part.slice(lo, hi - lo).filter(pa.array(seen))
+                        if some.num_rows:
+                            yield pa.RecordBatch.from_arrays([some.column(2), some.column(3)], schema=SUSPECTS_ARROW)
+
+    return run
+
+
+def suspected_lines(slim: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(key, id) of the line keys that the twice filters hold. slim: (id, text)."""
+    seen = scratch.keep(slim.mapInArrow(_sight(min_chars), SEEN), "seen")
+    n = slices_for(seen.count())
+    dealt = seen.select(F.pmod(F.shiftrightunsigned("hash", 1), F.lit(n)).alias("slice"), "hash", "again").repartition("slice").sortWithinPartitions("slice")
+    filters = scratch.keep(dealt.mapInArrow(_fill(SLICE_BITS), FILTERS), "filters")
+    scratch.drop("seen")
+    if n <= BROADCAST_SLICES:
+        # at most BROADCAST_SLICES filters of SLICE_BITS each
+        packed = {r["slice"]: r["twice"] for r in filters.collect()}
+        shared = slim.sparkSession.sparkContext.broadcast([packed.get(s) for s in range(n)])
+        return slim.mapInArrow(_suspect(shared, n, SLICE_BITS, min_chars), SUSPECTS)
+    keyed = scratch.keep(slim.mapInArrow(_keyed(n, min_chars), KEYED), "keyed")
+    loads = filters.select("slice", F.lit(0).cast("long").alias("hash"), F.col("twice").alias("key"), F.lit(None).cast("long").alias("id"))
+    meeting = loads.unionByName(keyed.filter("NOT sure").drop("sure")).repartition("slice").sortWithinPartitions("slice", F.col("id").asc_nulls_first())
+    return meeting.mapInArrow(_test(SLICE_BITS), SUSPECTS).unionByName(keyed.filter("sure").select("key", "id"))
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, scratch: Scratch | None = None) -> DataFrame:
     """(id, keys): for each document the digests of the line keys it must drop."""
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "lines")
+    scratch = scratch or Scratch(docs.sparkSession, "lines")
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    size = slim.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = filter_bits(size // LINE_BYTES)
-    filled = slim.mapInArrow(_fill(bits, min_chars), SEGMENTS)
-    merged = filled.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge, MERGED)
-    # at most MAX_BITS / 8 bytes reach the driver and each executor, however many documents there are
-    whole = np.zeros(bits // 8, np.uint8)
-    for r in merged.toLocalIterator():
-        at = r["segment"] * (SEGMENT // 8)
-        whole[at : at + SEGMENT // 8] = np.frombuffer(zlib.decompress(r["twice"]), np.uint8)
-    twice = spark.sparkContext.broadcast(zlib.compress(whole.tobytes(), 1))
-    suspects = scratch.keep(slim.mapInArrow(_suspect(twice, bits, min_chars), SUSPECTS), "suspects")
+    suspects = scratch.keep(suspected_lines(slim, scratch, min_chars), "suspects")
+    scratch.drop("filters", "keyed")
     confirmed = suspects.groupBy("key").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs)
-    # written, so that both sides of the join are plain exchanges and a hot line's rows can be split among tasks
+    # written, so that both sides of the join are plain exchanges and adaptive execution can split a hot line's rows among tasks
     confirmed = scratch.keep(confirmed, "confirmed")
     drops = suspects.join(confirmed, "key").filter(F.col("id") != F.col("keeper"))
     return drops.groupBy("id").agg(F.collect_set("key").alias("keys"))
@@ -160,7 +246,7 @@ def _apply(text_at: int, keys_at: int, schema: pa.Schema, min_chars: int):
                 n_lines.append(len(lines))
                 if keys:
                     gone = set(keys)
-                    left = [x for x in lines if len(x) < min_chars or len(k := line_key(x)) < min_chars or hashlib.sha256(k.encode("utf-8", "surrogatepass")).digest() not in gone]
+                    left = [x for x in lines if len(x) < min_chars or len(k := line_key(x)) < min_chars or _digest(k) not in gone]
                     n_dropped.append(len(lines) - len(left))
                     text = "\n".join(left)
                 else:

@@ -246,7 +246,6 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spa
     suspects = scratch.keep(every.join(often, "gram", "left_semi").drop("times"), "suspects")
     scratch.drop("passages", "often")
     found = scratch.keep(_searched(slim, suspects, span), "found")
-    scratch.release()
     judged = suspects.join(found, ["gram", "content"])
     own = (F.col("id") == F.col("first_id")) & (F.col("at") == F.col("first_at"))
     gone = judged.filter(~own | F.col("earlier").isNotNull()).select("id", F.struct("at", "windows", "content", F.when(own, F.col("earlier")).alias("which")).alias("run"))

@@ -46,11 +46,35 @@ def test_lines_odd_rows(odd):
 
 
 def test_small_filters_stay_exact(docs_of, monkeypatch):
-    monkeypatch.setattr(linededup, "MIN_BITS", 1 << 16)
-    monkeypatch.setattr(linededup, "MAX_BITS", 1 << 16)
+    """Filters that are far too full, and keys that travel to many slices: the same rows."""
     texts = ["\n".join(f"line number {j} that is long enough to be looked at by the filter {j % (i + 3)}" for j in range(400)) for i in range(12)]
     df = docs_of(*texts)
-    assert lines_of(df) == brute_lines([(r["doc_id"], r["text"]) for r in df.collect()])
+    expected = brute_lines([(r["doc_id"], r["text"]) for r in df.collect()])
+    monkeypatch.setattr(linededup, "SLICE_BITS", 1 << 9)
+    assert lines_of(df) == expected
+    monkeypatch.setattr(linededup, "SLICE_BITS", 1 << 13)
+    monkeypatch.setattr(linededup, "SLICE_KEYS", 100)
+    monkeypatch.setattr(linededup, "BROADCAST_SLICES", 0)
+    assert lines_of(df) == expected
+
+
+def test_few_lines_are_suspected_however_many_slices(spark, docs_of, monkeypatch):
+    """The share of single lines that are suspected stays small with the number of slices; repeated lines all are."""
+    from duologue.llm.store import Scratch
+
+    shared = [f"this is shared line number {k} of all the documents here" for k in range(3)]
+    texts = ["\n".join([*shared, *(f"line {j} of document {i} stands nowhere else in the corpus" for j in range(60))]) for i in range(300)]
+    slim = docs_of(*texts).selectExpr("doc_id AS id", "text")
+    monkeypatch.setattr(linededup, "SLICE_KEYS", 1 << 10)
+    monkeypatch.setattr(linededup, "SLICE_BITS", 1 << 14)
+    counts = []
+    for most in (1 << 10, 0):
+        monkeypatch.setattr(linededup, "BROADCAST_SLICES", most)
+        rows = linededup.suspected_lines(slim, Scratch(spark, "test")).collect()
+        held = {linededup._digest(linededup.line_key(x)) for x in shared}
+        assert sum(bytes(r["key"]) in held for r in rows) == 900
+        counts.append(len(rows) - 900)
+    assert max(counts) < 0.02 * 300 * 60, counts
 
 
 URLS = [
