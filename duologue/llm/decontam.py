@@ -1,16 +1,21 @@
-"""Benchmark decontamination: n-gram seeds, each passage's own, then Smith-Waterman alignment.
-
-One pass over the texts looks up every word n-gram among those of the test items; the places where
-a document and an item share some, on diagonals close together, are a passage. Rarity is judged
-inside a passage and not in the corpus: its rarest n-gram is its seed, whatever that n-gram's count,
-for a leaked item raises the counts of its n-grams, and edited copies those of some only. So every
-passage has a seed, and none is left out for being common. What spares work instead is exact: no alignment scores
-more than the words that passage and item have in common, so passages with too few of them are not
-aligned. The score is the best local alignment's over that of the item with itself, words as
-letters, so edited copies score high and chance phrases low.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+
+A first pass over the texts counts, for every word n-gram of the test items, the documents that hold
+it, and those that hold it *apart*, with neither neighbour beside it an n-gram of an item. A phrase
+of the language stands apart in many documents. A leaked item does not, exact or edited, in however
+many documents it is, since wherever more than n of its words are whole its n-grams stand side by
+side. Seeds of an item are its n-grams that stand apart in few documents and in few other items; an
+item made of common phrases only keeps its rarest. A second pass joins the texts with the seeds
+alone: places that share some with an item, on diagonals close together, are a passage.
+
+No alignment scores more than the words that passage and item have in common, so passages with too
+few of them are not aligned, which is exact. The score is the best local alignment's over that of
+the item with itself, words as letters, so edited copies score high and chance phrases low. A copy
+so edited that only common phrases of it are whole has no seed and is not found; one that an
+insertion of more than a quarter of the item cuts in two is scored by its better part.
 
 The items travel to the tasks in blocks of at most ``BLOCK_BYTES`` of text; a larger benchmark is
-handled block by block, each with a pass of its own.
+handled block by block, each with two passes of its own.
 
 Null or empty texts and items, and items of fewer words than an n-gram, match nothing. Rows
 without an id are skipped. Rows that repeat an id count as one document with the best score.
@@ -29,6 +34,10 @@ NGRAM = 4
 MIN_SCORE = 0.4
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 32 << 20
+#: A seed stands apart in at most this share of the documents, or in so many.
+APART_SHARE, APART_LEAST = 1e-3, 8
+#: A seed is in at most so many items more than twice as many as its item's n-gram that is in fewest.
+OTHER_ITEMS = 8
 PLAIN = bytes((c + 32) if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -68,9 +77,31 @@ class Items:
             return
         code, item, place = np.concatenate(every), np.concatenate(item), np.concatenate(place)
         order = np.argsort(code, kind="stable")
-        self.grams, first = np.unique(code[order], return_index=True)
+        self._set(code[order], item[order], place[order])
+
+    def _set(self, code: np.ndarray, item: np.ndarray, place: np.ndarray) -> None:
+        self.grams, first = np.unique(code, return_index=True)
         self.first = np.r_[first, len(code)]
-        self.item, self.place = item[order], place[order]
+        self.item, self.place = item, place
+
+    def only_seeds(self, docs: np.ndarray, apart: np.ndarray, n_docs: int) -> None:
+        """Keeps the rare n-grams of each item. docs, apart: counts for each n-gram."""
+        gram = np.repeat(np.arange(len(self.grams)), np.diff(self.first))
+        _, item = np.unique(self.item, return_inverse=True)
+        pair = np.unique(gram * (int(item.max()) + 1) + item)
+        holders = np.bincount(pair // (int(item.max()) + 1), minlength=len(self.grams))[gram]
+
+        def least(values: np.ndarray) -> np.ndarray:
+            low = np.full(item.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(low, item, values)
+            return low[item]
+
+        occurs = docs[gram] > 0
+        limit = max(APART_LEAST, APART_SHARE * n_docs)
+        shared = holders <= OTHER_ITEMS + 2 * least(holders)
+        spread = np.where(occurs & shared, apart[gram], np.iinfo(np.int64).max)
+        seed = occurs & shared & ((spread <= limit) | (spread <= least(spread)))
+        self._set(self.grams[gram[seed]], self.item[seed], self.place[seed])
 
 
 def in_common(item: np.ndarray, passage: np.ndarray) -> int:
@@ -81,6 +112,59 @@ def in_common(item: np.ndarray, passage: np.ndarray) -> int:
     return int(np.minimum(n, there).sum())
 
 
+def _look_up(items: Items, rows):
+    """A batch's (documents, word numbers, starts, sizes, places of n-grams of items, their numbers, their documents), or None."""
+    get = items.vocabulary.get
+    docs = [(i, [get(w, -1) for w in words(t)]) for i, t in zip(rows.column(0).to_pylist(), as_bytes(rows.column(1))) if i is not None and t]
+    if not docs:
+        return None
+    sizes = np.array([len(x) for _, x in docs])
+    ids = np.full(int(sizes.sum()) + items.n * len(docs), -1, np.int32)  # documents stand apart
+    starts = np.cumsum(sizes + items.n) - sizes - items.n
+    for s, (_, x) in zip(starts.tolist(), docs):
+        ids[s : s + len(x)] = x
+    known = ids >= 0
+    whole = known[: len(ids) - items.n + 1].copy()
+    for j in range(1, items.n):
+        whole &= known[j : len(ids) - items.n + 1 + j]
+    at = np.flatnonzero(whole)
+    code = np.zeros(len(at), np.uint64)
+    for j in range(items.n):
+        code = (code ^ (ids[at + j].astype(np.uint64) + np.uint64(1))) * FACTOR
+        code ^= code >> np.uint64(29)
+    spot = np.minimum(np.searchsorted(items.grams, code), len(items.grams) - 1)
+    hit = items.grams[spot] == code
+    at, spot = at[hit], spot[hit]
+    return docs, ids, starts, sizes, at, spot, np.searchsorted(starts, at, "right") - 1
+
+
+COUNTS, COUNTS_ARROW = out("gram long, docs long, apart long")
+
+
+def _count(shared):
+    def run(batches):
+        items: Items = shared.value
+        for rows in slices(batches):
+            looked = _look_up(items, rows)
+            if looked is None or not len(looked[4]):
+                continue
+            *_, at, spot, doc = looked
+            alone = np.r_[True, np.diff(at) > 1] & np.r_[np.diff(at) > 1, True]
+            # the documents of each n-gram, each once
+            pairs, first = np.unique(spot.astype(np.int64) * (int(doc[-1]) + 1) + doc, return_inverse=True)
+            lonely = np.bincount(first, weights=alone) > 0
+            gram = pairs // (int(doc[-1]) + 1)
+            grams, which = np.unique(gram, return_inverse=True)
+            yield batch(COUNTS_ARROW, grams, np.bincount(which), np.bincount(which, weights=lonely).astype(np.int64))
+
+    return run
+
+
+def gram_counts(slim: DataFrame, shared) -> DataFrame:
+    """(gram, docs, apart) of the n-grams of items that occur, by their numbers. slim: (id, text)."""
+    return slim.mapInArrow(_count(shared), COUNTS).groupBy("gram").agg(F.sum("docs").alias("docs"), F.sum("apart").alias("apart"))
+
+
 HITS, HITS_ARROW = out("id long, item long, at long, passage binary")
 
 
@@ -88,31 +172,11 @@ def _find(shared, min_score: float):
     def run(batches):
         items: Items = shared.value
         for rows in slices(batches):
-            out_rows: list[tuple] = []
-            get = items.vocabulary.get
-            docs = [(i, [get(w, -1) for w in words(t)]) for i, t in zip(rows.column(0).to_pylist(), as_bytes(rows.column(1))) if i is not None and t]
-            if not docs:
-                continue
-            sizes = np.array([len(x) for _, x in docs])
-            ids = np.full(int(sizes.sum()) + items.n * len(docs), -1, np.int32)  # documents stand apart
-            starts = np.cumsum(sizes + items.n) - sizes - items.n
-            for s, (_, x) in zip(starts.tolist(), docs):
-                ids[s : s + len(x)] = x
-            known = ids >= 0
-            whole = known[: len(ids) - items.n + 1].copy()
-            for j in range(1, items.n):
-                whole &= known[j : len(ids) - items.n + 1 + j]
-            at = np.flatnonzero(whole)
-            if not len(at):
+            looked = _look_up(items, rows)
+            if looked is None:
                 continue
-            code = np.zeros(len(at), np.uint64)
-            for j in range(items.n):
-                code = (code ^ (ids[at + j].astype(np.uint64) + np.uint64(1))) * FACTOR
-                code ^= code >> np.uint64(29)
-            spot = np.minimum(np.searchsorted(items.grams, code), len(items.grams) - 1)
-            hit = items.grams[spot] == code
-            at, spot = at[hit], spot[hit]
-            doc = np.searchsorted(starts, at, "right") - 1
+            docs, ids, starts, sizes, at, spot, doc = looked
+            out_rows: list[tuple] = []
             found: dict[tuple[int, int], list[int]] = {}
             for p, g, d in zip(at.tolist(), spot.tolist(), doc.tolist()):
                 for k in range(items.first[g], items.first[g + 1]):
@@ -195,11 +259,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(id, item, score, start, end): documents that hold a test item, with the words where its best alignment lies."""
     spark = docs.sparkSession
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    found = spark.createDataFrame([], "id long, item long, score double, start long, end long")
+    found, n_docs = spark.createDataFrame([], "id long, item long, score double, start long, end long"), None
     for rows in _blocks(benchmark, item_col, item_text_col):
         items = Items(rows, n)
         if not len(items.grams):
             continue
+        everything = spark.sparkContext.broadcast(items)
+        # a row for each n-gram of the block that occurs; the block's size bounds them
+        counted = np.array([(r["gram"], r["docs"], r["apart"]) for r in gram_counts(slim, everything).collect()], np.int64).reshape(-1, 3)
+        if not len(counted):
+            continue
+        counts = np.zeros((2, len(items.grams)), np.int64)
+        counts[:, counted[:, 0]] = counted[:, 1:].T
+        n_docs = slim.count() if n_docs is None else n_docs
+        items.only_seeds(*counts, n_docs)
         shared = spark.sparkContext.broadcast(items)
         hits = slim.mapInArrow(_find(shared, min_score), HITS)
         scored = hits.repartition("id").mapInArrow(_align(shared), SCORED).filter(F.col("score") >= min_score)
@@ -211,3 +284,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "score", F.col("start").alias("start_word"), F.col("end").alias("end_word"))
+
+
+def op6_seed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts from which ``op6_decontamination`` chooses its seeds: (gram, items, docs), for every n-gram of an item that is in a document."""
+    docs, found = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.createDataFrame([], "gram string, item long, docs long")
+    slim = docs.select(F.col("doc_id").alias("id"), "text")
+    for rows in _blocks(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text"):
+        items = Items(rows, NGRAM)
+        if len(items.grams):
+            names = list(items.vocabulary)
+            texts = [b" ".join(names[x] for x in items.tokens[items.item[k]][items.place[k] : items.place[k] + NGRAM]).decode() for k in items.first[:-1]]
+            pairs = sorted({(g, int(items.item[k])) for g in range(len(texts)) for k in range(items.first[g], items.first[g + 1])})
+            held = spark.createDataFrame([(g, texts[g], i) for g, i in pairs], "number long, gram string, item long")
+            counted = gram_counts(slim, spark.sparkContext.broadcast(items))
+            found = found.unionByName(held.join(counted, F.col("number") == counted["gram"]).select(held["gram"], "item", "docs"))
+    return found.groupBy("gram").agg(F.count("*").alias("items"), F.max("docs").alias("docs"))
+
+
+SQL = f"""
+WITH texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+listed AS (SELECT side, id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM texts WHERE text IS NOT NULL AND id IS NOT NULL),
+grams AS (SELECT DISTINCT side, id, array_to_string(w[p : p + {NGRAM - 1}], ' ') AS gram FROM (SELECT side, id, w, unnest(generate_series(1, len(w) - {NGRAM - 1})) AS p FROM listed))
+SELECT gram, count(*) FILTER (WHERE side = 'i') AS items, count(*) FILTER (WHERE side = 'd') AS docs
+FROM grams GROUP BY gram HAVING count(*) FILTER (WHERE side = 'i') > 0 AND count(*) FILTER (WHERE side = 'd') > 0"""

@@ -15,11 +15,13 @@ QUERIES = {
     "op8_secrets": secrets.op8_secrets,
     "op9_substring_dedup": substring.op9_substring_dedup,
     "op10_url_filter": urlfilter.op10_url_filter,
+    "op6_seed_counts": decontam.op6_seed_counts,
     "op8_base_patterns": secrets.op8_base_patterns,
 }
 SQL = {
     "op3_warc_revisits": warc.SQL,
     "op7_line_dedup": linededup.SQL,
     "op10_url_filter": urlfilter.SQL,
+    "op6_seed_counts": decontam.SQL,
     "op8_base_patterns": secrets.SQL,
 }

@@ -110,6 +110,66 @@ def test_edited_leaks_in_many_documents(spark, docs_of):
         assert got == set(range(20, 60 + exact)), exact
 
 
+def test_a_phrase_of_many_items_is_no_seed(spark, docs_of):
+    """Short items that share a phrase, and documents that hold only the phrase: no pair of them is looked at."""
+    rows = [(i, f"which of the following is item{i} word{i} name{i} thing{i}") for i in range(3000)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    docs = docs_of(*[f"x{i} which of the following is y{i}" for i in range(100)], rows[5][1], f"say {rows[7][1]} again")
+    found = decontam.Items([(i, t.encode()) for i, t in rows], decontam.NGRAM)
+    shared = spark.sparkContext.broadcast(found)
+    counts = np.zeros((2, len(found.grams)), np.int64)
+    for r in decontam.gram_counts(docs.selectExpr("doc_id AS id", "text"), shared).collect():
+        counts[:, r["gram"]] = r["docs"], r["apart"]
+    found.only_seeds(*counts, 102)
+    hits = docs.selectExpr("doc_id AS id", "text").mapInArrow(decontam._find(spark.sparkContext.broadcast(found), decontam.MIN_SCORE), decontam.HITS)
+    assert {(r["id"], r["item"]) for r in hits.collect()} == {(100, 5), (101, 7)}
+    assert {(r["id"], r["item"]) for r in decontam.contaminated(docs, items).collect()} == {(100, 5), (101, 7)}
+
+
+def test_repeated_items_and_items_of_common_phrases(spark, docs_of):
+    """Items that many others repeat, and one whose every n-gram stands apart in many documents, are found."""
+    phrases = ["at the end of the", "one of the most important", "in the middle of a"]
+    texts = [f"a{i} {phrases[i % 3]} b{i}" for i in range(60)] + [" ".join(phrases), ITEM]
+    items = spark.createDataFrame([(i, ITEM) for i in range(40)] + [(99, " ".join(phrases))], "item_id long, text string")
+    got = {(r["id"], r["item"]) for r in decontam.contaminated(docs_of(*texts), items).collect() if r["score"] > 0.9}
+    assert got == {(61, i) for i in range(40)} | {(60, 99)}
+
+
+def brute_leaks(docs, items, min_score=decontam.MIN_SCORE):
+    """Every document aligned as a whole with every item."""
+    found = {}
+    for i, text in docs:
+        w = decontam.words((text or "").encode())
+        for k, item in items:
+            tokens = decontam.words((item or "").encode())
+            if i is None or len(tokens) < decontam.NGRAM:
+                continue
+            number = {x: n for n, x in enumerate(dict.fromkeys(tokens))}
+            score = brute_alignment([number[x] for x in tokens], [number.get(x, -1) for x in w])
+            if score >= min_score:
+                found[i, k] = round(score, 9)
+    return found
+
+
+def test_leaks_against_brute_force(spark, docs_of):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(400)}"
+    items = [(i, " ".join(word() for _ in range(rng.randrange(8, 40)))) for i in range(12)]
+    texts = []
+    for _ in range(80):
+        parts = [word() for _ in range(rng.randrange(60))]
+        for _, t in rng.sample(items, rng.randrange(3)):
+            w = t.split()
+            for _ in range(rng.randrange(1 + len(w) // 5)):  # replaced, dropped and added words
+                k = rng.randrange(len(w))
+                w[k : k + 1] = rng.choice([[word()], [], [w[k], word()]])
+            parts += [*w, *(word() for _ in range(rng.randrange(60)))]
+        texts.append(" ".join(parts))
+    docs = docs_of(*texts)
+    got = {(r["id"], r["item"]): round(r["score"], 9) for r in decontam.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute_leaks([(r["doc_id"], r["text"]) for r in docs.collect()], items) and len(got) > 40
+
+
 def test_words_in_common_bound_alignment():
     rng = np.random.default_rng(6)
     for _ in range(200):
