@@ -21,6 +21,7 @@ QUERIES = {
 SQL = {
     "op3_warc_revisits": warc.SQL,
     "op7_line_dedup": linededup.SQL,
+    "op9_substring_dedup": substring.SQL,
     "op10_url_filter": urlfilter.SQL,
     "op6_seed_counts": decontam.SQL,
     "op8_base_patterns": secrets.SQL,

@@ -4,11 +4,18 @@ A window is ``span`` consecutive words. Equal windows hold the same least gram (
 hash), so maximal runs of windows with one least gram -- passages -- are dealt out by it, and all
 places where a window occurs meet in one shard, however many documents there are. Grams found in
 many documents rank last, so that a passage that many share does not draw its surroundings into
-one shard. Passages whose gram occurs once cannot repeat and stop here; equal passages are one
-string with its first place. Each shard indexes its strings in a Burrows-Wheeler transform kept
-in a wavelet matrix; the strings are streamed through backward search, which gives at each word
-the length matched elsewhere, held at ``span``. Where it reaches the span, the interval's first
-place tells whether the window starts earlier somewhere.
+one shard. Passages whose gram occurs once cannot repeat and stop here. Passages of equal words
+travel as one, with their first place and their number.
+
+Each shard indexes the first passage of each of its grams. All other passages, later copies
+included, are not in that index; they are streamed through it by backward search, which gives the
+matching statistic of every word: where it reaches the span, the window starts earlier. Passages
+that hold windows the index lacks, and may share them with others, go into a second index and are
+streamed through it; there a window starts earlier if its interval's earliest place is another.
+What a shard reports are intervals of windows, for the first place of a passage and for later ones.
+
+A gram whose passages would exceed a shard is dealt again, window by window: then equal windows are
+one string, and a string that occurs once stops there, so no gram is too frequent for a task.
 
 Null or empty texts have no words. Ids are those of documents: rows that repeat an id with its
 text are returned alike; under one id with another text, only what holds the found words is
@@ -30,7 +37,7 @@ from duologue.llm.store import Scratch
 
 SPAN = 20
 GRAM = 6
-#: Words of one index.
+#: Words of one shard. A gram with more is dealt out by windows.
 SHARD_WORDS = 400_000
 #: Grams in at least this share of documents rank last; estimated on one document in SAMPLE_EVERY by hash. It moves work, not results.
 COMMON_SHARE, COMMON_LEAST, SAMPLE_EVERY, MAX_COMMON = 2e-4, 8, 32, 500_000
@@ -149,7 +156,23 @@ def common_grams(slim: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["gram"] for r in rows], np.int64).view(np.uint64))
 
 
-STRINGS, STRINGS_ARROW = out("gram long, content long, id long, at int, windows int, words binary")
+def _windows(span: int):
+    """Every window of the wanted passages as a passage of its own, dealt by its words."""
+
+    def run(batches):
+        for rows in slices(batches):
+            for i, text, wanted in zip(rows.column(0).to_pylist(), as_bytes(rows.column(1)), rows.column(2).to_pylist()):
+                hashes = word_hashes(text.split())
+                at = np.unique(np.concatenate([np.arange(w["at"], w["at"] + w["windows"]) for w in wanted]))
+                at = at[at + span <= len(hashes)]
+                if len(at):
+                    content, one = pa.array(Content(hashes).of(at, at + span).view(np.int64)), pa.array(np.ones(len(at), np.int32))
+                    yield pa.RecordBatch.from_arrays([content, content, pa.array(np.full(len(at), i)), pa.array(at.astype(np.int32)), one, one], schema=PASSAGES_ARROW)
+
+    return run
+
+
+STRINGS, STRINGS_ARROW = out("gram long, content long, id long, at int, windows int, places long, times int, words binary")
 
 
 def _extract(span: int):
@@ -161,7 +184,7 @@ def _extract(span: int):
                 for w in wanted:
                     string = words[w["at"] : w["at"] + w["windows"] + span - 1]
                     if len(string) == w["windows"] + span - 1:
-                        for c, v in zip(done, (w["gram"], w["content"], i, w["at"], w["windows"], b" ".join(string))):
+                        for c, v in zip(done, (w["gram"], w["content"], i, w["at"], w["windows"], w["places"], w["times"], b" ".join(string))):
                             c.append(v)
             if done[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(done, STRINGS_ARROW)], schema=STRINGS_ARROW)
@@ -169,33 +192,72 @@ def _extract(span: int):
     return run
 
 
-FOUND, FOUND_ARROW = out("gram long, content long, first_id long, first_at int, earlier binary")
-
-
-def search_shard(strings: list[bytes], ids: np.ndarray, at: np.ndarray, span: int) -> list[bytes | None]:
-    """For each string the numbers of its windows that start earlier in another place than the string's own first, or None."""
-    words = b" ".join(strings).split(b" ")
-    symbol = {w: k for k, w in enumerate(dict.fromkeys(words), 1)}
-    sizes = np.array([s.count(b" ") + 1 for s in strings])
-    ends = np.cumsum(sizes + 1) - 1
-    text = np.zeros(ends[-1] + 1, np.int64)  # a zero stands after each string
-    inside = np.ones(len(text), bool)
-    inside[ends] = False
-    text[inside] = np.fromiter(map(symbol.__getitem__, words), np.int64, len(words))
-    index = FMIndex(text, len(symbol) + 1, span)
-    owner = np.repeat(np.arange(len(strings)), sizes + 1)
-    place = at[owner] + np.arange(len(text)) - (ends - sizes)[owner]
-    # places in order of document and position, as one number each
-    by = np.lexsort((place, ids[owner]))
-    rank = np.empty(len(text), np.int64)
-    rank[by] = np.arange(len(text))
-    best = np.minimum.reduceat(rank[index.order], index.full)
-    found: list[list[int]] = [[] for _ in strings]
-    for live, spot, lo, hi in index.matches(ends, sizes, text):
-        group = index.full_of[lo]
-        for k in np.flatnonzero(best[group] != rank[spot]).tolist():
-            found[live[k]].append(int(spot[k] - (ends - sizes)[live[k]]))
-    return [np.array(f, np.int32).tobytes() if f else None for f in found]
+class Strings:
+    """Strings one after another, as numbers of words; a zero stands after each."""
+
+    def __init__(self, strings: list[bytes], symbol: dict[bytes, int]):
+        words = b" ".join(strings).split(b" ")
+        sizes = np.array([s.count(b" ") + 1 for s in strings])
+        self.ends = np.cumsum(sizes + 1) - 1
+        self.begins = self.ends - sizes
+        self.text = np.zeros(self.ends[-1] + 1, np.int64)
+        inside = np.ones(len(self.text), bool)
+        inside[self.ends] = False
+        self.text[inside] = np.fromiter((symbol.get(w, 0) for w in words), np.int64, len(words))
+
+
+def indexed(strings: list[bytes], span: int) -> tuple[FMIndex, dict[bytes, int]]:
+    symbol = {w: k for k, w in enumerate(dict.fromkeys(b" ".join(strings).split(b" ")), 1)}
+    return FMIndex(Strings(strings, symbol).text, len(symbol) + 1, span), symbol
+
+
+def matched(index: FMIndex, symbol: dict[bytes, int], strings: list[bytes], span: int, own: bool = False) -> list[np.ndarray]:
+    """For each string whether each of its windows is in the index; with ``own``, where the strings are the indexed ones, whether another place has it earlier."""
+    s = Strings(strings, symbol)
+    flags = np.zeros(len(s.text), bool)
+    for _, place, lo, hi in index.statistics(s.text, s.begins, s.ends):
+        flags[place] = index.first_place(lo, hi, place) < place if own else True
+    return [flags[b : e - span + 1] for b, e in zip(s.begins.tolist(), s.ends.tolist())]
+
+
+def _intervals(flags: np.ndarray) -> bytes | None:
+    """Starts and lengths of the runs of true flags."""
+    edge = np.flatnonzero(np.diff(np.r_[False, flags, False].astype(np.int8)))
+    return np.stack([edge[::2], edge[1::2] - edge[::2]]).astype(np.int32).tobytes() if len(edge) else None
+
+
+def search_shard(strings: list[bytes], gram: np.ndarray, places: np.ndarray, times: np.ndarray, span: int) -> tuple[list[bytes | None], list[bytes | None]]:
+    """Intervals of windows that start earlier, for each string's first place and for its later ones.
+
+    Strings are distinct and in order of gram and, within one, of their first places. ``times`` is 2
+    where a window may repeat inside its string.
+    """
+    new = np.r_[True, gram[1:] != gram[:-1]]
+    own = [np.zeros(s.count(b" ") + 2 - span, bool) for s in strings]
+    later = [f.copy() for f in own]
+    streamed = np.flatnonzero(~new | (places > 1))
+    if len(streamed):
+        founders = np.unique(np.cumsum(new)[streamed] - 1)
+        index, symbol = indexed([strings[i] for i in np.flatnonzero(new)[founders]], span)
+        for i, found in zip(streamed.tolist(), matched(index, symbol, [strings[i] for i in streamed], span)):
+            later[i] = found
+            if not new[i]:
+                own[i] = found
+        del index
+    left = np.array([not new[i] and not f.all() for i, f in enumerate(own)])
+    group = np.cumsum(new) - 1
+    company = np.bincount(group, weights=left)[group] > 1
+    rest = np.flatnonzero((times > 1) | left & (company | (places > 1)))
+    if len(rest):
+        some = [strings[i] for i in rest]
+        index, symbol = indexed(some, span)
+        for i, found in zip(rest.tolist(), matched(index, symbol, some, span, own=True)):
+            own[i] = own[i] | found
+            later[i] = np.ones(len(found), bool)  # the string itself is in the index, at its first place
+    return [_intervals(f) for f in own], [_intervals(f) if n > 1 else None for f, n in zip(later, places)]
+
+
+FOUND, FOUND_ARROW = out("gram long, content long, first_id long, first_at int, own binary, later binary")
 
 
 def _search(span: int):
@@ -203,10 +265,12 @@ def _search(span: int):
         held, words = [], 0
 
         def flush():
-            rows = pa.Table.from_batches(held).combine_chunks() if len(held) > 1 else pa.Table.from_batches(held)
-            ids, at = rows.column("id").to_numpy(), rows.column("at").to_numpy().astype(np.int64)
-            earlier = search_shard(rows.column("words").to_pylist(), ids, at, span)
-            return pa.RecordBatch.from_arrays([*(rows.column(c).combine_chunks() for c in ("gram", "content", "id", "at")), pa.array(earlier, pa.binary())], schema=FOUND_ARROW)
+            rows = pa.Table.from_batches(held).combine_chunks()
+            # in order of first places within grams, and of grams within the shard
+            order = np.lexsort((rows.column("at").to_numpy(), rows.column("id").to_numpy(), rows.column("gram").to_numpy()))
+            rows = rows.take(pa.array(order)).combine_chunks()
+            own, later = search_shard(rows.column("words").to_pylist(), *(rows.column(c).to_numpy() for c in ("gram", "places", "times")), span)
+            return pa.RecordBatch.from_arrays([*(rows.column(c).combine_chunks() for c in ("gram", "content", "id", "at")), pa.array(own, pa.binary()), pa.array(later, pa.binary())], schema=FOUND_ARROW)
 
         for table in groups(batches, "gram"):
             # whole groups of a gram, cut into shards of bounded size between groups
@@ -226,30 +290,50 @@ def _search(span: int):
     return run
 
 
+def _with_texts(slim: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, text, wanted): documents with the passages asked of them. wanted: (wid, what)."""
+    lists = wanted.groupBy("wid").agg(F.collect_list("what").alias("wanted"))
+    return slim.join(lists.hint("shuffle_hash"), F.col("id") == F.col("wid")).select("id", "text", "wanted")
+
+
+def _cooled(slim: DataFrame, suspects: DataFrame, span: int, scratch: Scratch) -> DataFrame:
+    """The suspects, those of grams with too many different words dealt out by windows."""
+    size = F.max("windows").alias("windows")
+    hot = suspects.groupBy("gram", "content").agg(size).groupBy("gram").agg(F.sum(F.col("windows") + span).alias("words")).filter(F.col("words") > SHARD_WORDS)
+    hot = scratch.keep(hot.select("gram"), "hot")
+    if hot.isEmpty():
+        return suspects
+    asked = suspects.join(hot, "gram", "left_semi").select(F.col("id").alias("wid"), F.struct("at", "windows").alias("what"))
+    single = scratch.keep(_with_texts(slim, asked).mapInArrow(_windows(span), PASSAGES), "windows")
+    again = single.groupBy("gram").count().filter("count > 1").select("gram")
+    return scratch.keep(suspects.join(hot, "gram", "left_anti").unionByName(single.join(again, "gram", "left_semi")), "cooled")
+
+
 def _searched(slim: DataFrame, suspects: DataFrame, span: int) -> DataFrame:
-    """The distinct strings of suspected passages, dealt out by gram and searched. Its frames end with the call, so that their shuffle files can go."""
-    firsts = suspects.groupBy("gram", "content").agg(F.min(F.struct("id", "at")).alias("first"), F.max("windows").alias("windows"))
-    wanted = firsts.groupBy(F.col("first.id").alias("wid")).agg(F.collect_list(F.struct(F.col("first.at").alias("at"), "windows", "gram", "content")).alias("wanted"))
-    strings = slim.join(wanted.hint("shuffle_hash"), F.col("id") == F.col("wid")).select("id", "text", "wanted").mapInArrow(_extract(span), STRINGS)
-    dealt = strings.repartition("gram").sortWithinPartitions("gram", "content")
-    return dealt.mapInArrow(_search(span), FOUND)
+    """The distinct strings of suspected passages, dealt out by gram and searched."""
+    firsts = suspects.groupBy("gram", "content").agg(F.min(F.struct("id", "at")).alias("first"), F.max("windows").alias("windows"), F.count("*").alias("places"), F.max("times").alias("times"))
+    what = F.struct(F.col("first.at").alias("at"), "windows", "gram", "content", "places", "times").alias("what")
+    strings = _with_texts(slim, firsts.select(F.col("first.id").alias("wid"), what)).mapInArrow(_extract(span), STRINGS)
+    return strings.repartition("gram").sortWithinPartitions("gram").mapInArrow(_search(span), FOUND)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, scratch: Scratch | None = None) -> DataFrame:
-    """(id, runs): for each document its passages with windows that start earlier somewhere: (at, windows, content, which), which null for all."""
+    """(id, runs): for each document its passages with windows that start earlier somewhere: (at, windows, content, which); which holds starts and lengths of the intervals."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "substring")
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("id IS NOT NULL")
     common = spark.sparkContext.broadcast(common_grams(slim))
     every = scratch.keep(slim.mapInArrow(_cut(common, span), PASSAGES), "passages")
     often = scratch.keep(every.groupBy("gram").agg(F.sum("times").alias("n")).filter("n > 1").select("gram"), "often")
-    suspects = scratch.keep(every.join(often, "gram", "left_semi").drop("times"), "suspects")
+    suspects = scratch.keep(every.join(often, "gram", "left_semi"), "suspects")
     scratch.drop("passages", "often")
+    suspects = _cooled(slim, suspects, span, scratch)
     found = scratch.keep(_searched(slim, suspects, span), "found")
     judged = suspects.join(found, ["gram", "content"])
-    own = (F.col("id") == F.col("first_id")) & (F.col("at") == F.col("first_at"))
-    gone = judged.filter(~own | F.col("earlier").isNotNull()).select("id", F.struct("at", "windows", "content", F.when(own, F.col("earlier")).alias("which")).alias("run"))
-    return gone.groupBy("id").agg(F.collect_list("run").alias("runs"))
+    first = (F.col("id") == F.col("first_id")) & (F.col("at") == F.col("first_at"))
+    which = F.when(first, F.col("own")).otherwise(F.col("later")).alias("which")
+    gone = judged.select("id", "at", "windows", "content", which).filter("which IS NOT NULL")
+    return gone.groupBy("id").agg(F.collect_list(F.struct("at", "windows", "content", "which")).alias("runs"))
 
 
 CLEAN, CLEAN_ARROW = out("id long, n_words long, n_removed long, text string")
@@ -262,13 +346,9 @@ def removed_words(words: list[bytes], runs: list[dict], span: int = SPAN) -> np.
         a, b = r["at"], r["at"] + r["windows"] + span - 1
         if b > len(words) or int(content.of(np.array([a]), np.array([b]))[0]) != r["content"] & (1 << 64) - 1:
             continue
-        if r["which"] is None:
-            edge[a] += 1
-            edge[b] -= 1
-        else:
-            w = a + np.frombuffer(r["which"], np.int32)
-            np.add.at(edge, w, 1)
-            np.add.at(edge, w + span, -1)
+        begin, count = np.frombuffer(r["which"], np.int32).reshape(2, -1)
+        np.add.at(edge, a + begin, 1)
+        np.add.at(edge, a + begin + count + span - 1, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -299,3 +379,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+SQL = f"""
+WITH lists AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, p, md5(array_to_string(w[p : p + {SPAN - 1}], ' ')) AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - {SPAN - 1})) AS p FROM lists)),
+repeated AS (SELECT doc_id, p FROM windows QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(p, p + {SPAN - 1})) AS p FROM repeated),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM lists)
+SELECT l.doc_id, max(len(l.w)) AS n_words, count(*) FILTER (WHERE g.p IS NOT NULL) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY w.p) FILTER (WHERE g.p IS NULL AND word IS NOT NULL), '')) AS kept_sha256
+FROM lists l LEFT JOIN words w ON l.doc_id = w.doc_id LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.p = g.p GROUP BY l.doc_id"""

@@ -80,6 +80,59 @@ def test_fm_index_counts():
     assert WaveletMatrix(text, 5).rank(np.full(4, 2), at).tolist() == [int((text[:a] == 2).sum()) for a in at]
 
 
+def test_matching_statistics_of_texts_outside_the_index():
+    """Streamed strings that the index does not hold: places whose longest match reaches the depth, and the earliest place of each."""
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        depth, sigma = int(rng.integers(2, 7)), int(rng.integers(3, 6))
+        parts = [rng.integers(1, sigma, rng.integers(1, 60)).tolist() for _ in range(int(rng.integers(1, 6)))]
+        text = np.array(sum([[*p, 0] for p in parts], []))
+        index = FMIndex(text, sigma, depth)
+        asked = [rng.integers(0, sigma, rng.integers(0, 50)).tolist() for _ in range(5)]
+        flat = np.array(sum([[*a, 0] for a in asked], []), np.int64)
+        ends = np.cumsum([len(a) + 1 for a in asked]) - 1
+        begins = ends - np.array([len(a) for a in asked])
+        got = {}
+        for _, place, lo, hi in index.statistics(flat, begins, ends):
+            first = index.first_place(lo, hi, np.full(len(place), -1))
+            got |= dict(zip(place.tolist(), zip((hi - lo).tolist(), first.tolist())))
+        expected, held = {}, text.tolist()
+        for b, e in zip(begins.tolist(), ends.tolist()):
+            for p in range(b, e - depth + 1):
+                w = flat[p : p + depth].tolist()
+                spots = [k for k in range(len(held) - depth + 1) if held[k : k + depth] == w] if 0 not in w else []
+                if spots:
+                    expected[p] = (len(spots), spots[0] if len(spots) > 1 else -1)
+        assert got == expected
+
+
+def test_memory_of_the_index():
+    text = np.random.default_rng(2).integers(1, 1 << 15, 200_000)
+    index = FMIndex(np.r_[text, 0], 1 << 15, 20)
+    assert index.nbytes < 14 * 200_000
+
+
+def test_a_frequent_gram_is_dealt_out_by_windows(docs_of, monkeypatch):
+    """Near copies with edits of their own, far more than a shard takes."""
+    monkeypatch.setattr(substring, "SHARD_WORDS", 300)
+    rng = random.Random(4)
+    base = [f"b{k}" for k in range(60)]
+    texts = []
+    for i in range(50):
+        w = list(base)
+        w[rng.randrange(60)] = f"e{i % 30}"
+        texts.append(" ".join(w))
+    df = docs_of(*texts)
+    assert dict(substrings_of(df)) == brute_substrings([(r["doc_id"], r["text"]) for r in df.collect()])
+
+
+def test_ids_repeated_under_two_texts_do_not_crash(spark):
+    long_ = " ".join(f"s{k}" for k in range(30))
+    df = spark.createDataFrame([(1, long_ + " one"), (1, "two " + long_), (2, long_)], "doc_id long, text string")
+    got = substrings_of(df)
+    assert sorted(i for i, _ in got) == [1, 1, 2] and (2, (30, 30, "")) in got
+
+
 # ---------------------------------------------------------------- decontamination
 
 ITEM = "the quick brown fox jumps over a lazy dog while seven grey owls watch from the old oak near our quiet river bank tonight"
