@@ -23,6 +23,7 @@ SQL = {
     "op7_line_dedup": linededup.SQL,
     "op9_substring_dedup": substring.SQL,
     "op10_url_filter": urlfilter.SQL,
+    "op4_ann": ann.SQL,
     "op6_seed_counts": decontam.SQL,
     "op8_base_patterns": secrets.SQL,
 }
