@@ -1,16 +1,20 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words map to a few symbols: insult, threat, target, negation, report, other. Three transducers
-rewrite them -- negation scopes a few words, reported speech lasts to the clause's end, a target
-near an offence marks it as aimed -- and are composed into one machine, built once as a table of
-product states. It reads only clauses that hold an offence, and its outputs, counted by kind,
-are what a document is scored on; an isolated word outside any clause reading has no score.
+Words map to symbols, and a cascade of weighted transducers rewrites them, each reading what the one
+before it wrote. The insult transducer turns insulting words, and phrases of several words, into
+offences; the threat transducer turns a verb of harm after words of intent into a threat; negation
+rewrites offences in its scope of a few words, reported speech those of its clause, and the target
+transducer those that stand near someone addressed. Arcs carry weights, and weights add up along a
+path. The cascade is composed into one machine, tabulated as far as texts lead, which reads a clause
+forwards; a second one, of reported speech and targets, reads its output backwards. Only clauses that
+hold an offence are read. A document's score is the logistic of its clauses' weights, each kind of
+arc counted at most ``COUNT_LIMIT`` times; an isolated word outside any clause reading has no score.
 
 Insult words and stems are learned: those whose labelled documents are nearly all toxic and that
 stand in many different word contexts there (copies of one document share their contexts, so they
-do not count as many). The weights of the machine's outputs are fitted by logistic regression
-towards prior weights, on the same sample of at most ``MAX_ROWS`` labelled rows, chosen by a hash
-of the id; beyond that bound more labels change nothing. Scoring is one map over whole texts.
+do not count as many). The arcs' weights are fitted by logistic regression towards prior weights, on
+the same sample of at most ``MAX_ROWS`` labelled rows, chosen by a hash of the id; beyond that bound
+more labels change nothing. The sample bounds the lexicon too. Scoring is one map over whole texts.
 
 Null and empty texts get the score of a document without matches. Rows are returned one for one.
 A row without an id is scored and counts as not held out. Without labels of both classes, built-in
@@ -20,7 +24,9 @@ words and prior weights are used. Labels that repeat an id count as toxic if any
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
+from collections.abc import Callable
 from itertools import product
 from math import exp, log
 
@@ -38,13 +44,22 @@ from duologue.llm.store import Scratch
 MAX_ROWS = 12_000
 FOLDS = 5
 STEM_LENGTHS = (4, 5, 6)
-MIN_CONTEXTS, MIN_DOCS, MIN_PRECISION = 8, 4, 0.9
+MIN_CONTEXTS, MIN_DOCS, MIN_PRECISION = 6, 4, 0.9
 #: A stem stands for at least so many different words; else the word itself is learned.
-MIN_FORMS = 4
-MAX_TERMS = 4_000
+MIN_FORMS = 3
 
 INSULTS = "idiot idiots moron morons stupid scum loser losers pathetic worthless trash disgusting dumb fool vermin filth imbecile idiotisch dummkopf abschaum arschloch versager imbécile connard crétin salaud abruti estúpido estúpida imbécil cabrón inútil".split()
-THREATS = "kill murder hurt destroy burn stab shoot strangle töten umbringen verletzen vernichten tuer détruire frapper brûler matar destruir golpear quemar".split()
+PHRASES = [
+    tuple(p.split())
+    for p in (
+        "piece of trash, piece of garbage, piece of dirt, waste of space, good for nothing, shut up, go to hell, drop dead, get lost, screw you, "
+        "stück dreck, halt die klappe, fahr zur hölle, scher dich weg, zu nichts zu gebrauchen, "
+        "moins que rien, va au diable, ferme ta gueule, bon à rien, sac à merde, "
+        "bueno para nada, vete al infierno, cierra la boca, pedazo de basura, hijo de perra"
+    ).split(", ")
+]
+HARMS = "kill murder hurt destroy burn stab shoot strangle töten umbringen verletzen vernichten tuer détruire frapper brûler matar destruir golpear quemar".split()
+INTENTS = "will would gonna going should must shall deserve deserves i'll we'll they'll werde werden wird sollte sollten muss müssen vais va allons vont devrait doit voy va vamos van debería debe".split()
 TARGETS = "you your yours yourself he she him her they them these those people du dich dein deine ihr euch sie tu toi vous ton votre ils elles tú usted ustedes vosotros ellos ellas".split()
 NEGATIONS = "not no never neither nor without cannot isn't aren't wasn't don't doesn't didn't won't nicht kein keine niemals nie ohne ne pas jamais aucun sans nunca jamás tampoco sin".split()
 REPORTS = "said says say wrote writes quoted quotes claimed claims reported reports called alleged stated sagte sagt schrieb behauptet berichtet dit disait écrit affirme rapporte dijo dice escribió afirma informó".split()
@@ -53,136 +68,203 @@ WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 #: Words after a negation that it still covers, and words around an offence in which a target counts.
 NEGATION_SCOPE, TARGET_SCOPE = 3, 4
 
-SYMBOLS = ("other", "insult", "threat", "target", "negation", "report")
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-#: Output kinds: (offence, negated, reported, aimed).
-KINDS = list(product((INSULT, THREAT), (False, True), (False, True), (False, True)))
-FEATURES = len(KINDS) + 2
-#: Prior weights per kind: plain offences count, aimed ones more, negated and reported ones little.
-PRIOR = np.array([*((2.5 if k == INSULT else 1.2) * (0.3 if neg else 1) * (0.4 if rep else 1) * (1.3 if aim else 1) for k, neg, rep, aim in KINDS), 0.5, -3.0])
+#: Symbols of words. Each word of a phrase has a symbol of its own, from PHRASED on.
+OTHER, LEARNED, LISTED, HARM, INTENT, TARGET, NEGATION, REPORT, PHRASED = range(9)
+INSULT, THREAT = 1, 2  # kinds of offences, beside HARM
+#: Offences as the machine writes them: (kind, negated, reported, aimed), numbered from OFFENCE on.
+KINDS = list(product((INSULT, THREAT, HARM), (False, True), (False, True), (False, True)))
+OFFENCE = 1 << 20
+NUMBER = {k: n for n, k in enumerate(KINDS)}
+#: How many words after an intent a verb of harm still completes a threat.
+INTENT_SCOPE = 3
+#: Kinds of arcs and their prior weights: of offences, and of what rewrites them.
+ARCS = ("learned", "listed", "phrase", "threat", "harm", "negated", "reported", "aimed")
+WORD_LEARNED, WORD_LISTED, PHRASE, INTENDED, HARMFUL, NEGATED, REPORTED, AIMED = range(len(ARCS))
+FEATURES = len(ARCS) + 2
+#: After the arcs' weights those of the number of offences, as a logarithm, and of every document.
+PRIOR = np.array([2.5, 1.2, 2.2, 2.0, 0.6, -1.5, -1.2, 0.6, 0.5, -3.0])
 COUNT_LIMIT = 3
 PULL = 1.0
 
 
 class Transducer:
-    """step(state, symbol) -> (next state, mark): the mark is what it adds to an offence read there."""
+    """arc(state, symbol) -> (next state, symbol written, kinds of weights of the arc)."""
 
-    def __init__(self, states: int, step):
-        self.states, self.step = states, step
+    def __init__(self, start, arc: Callable):
+        self.start, self.arc = start, arc
 
 
-def _negation() -> Transducer:
-    return Transducer(NEGATION_SCOPE + 1, lambda s, x: (NEGATION_SCOPE, False) if x == NEGATION else (max(0, s - 1), s > 0))
+def compose(first: Transducer, then: Transducer) -> Transducer:
+    """The machine that reads what ``first`` reads and writes what ``then`` makes of its output; weights add up."""
 
+    def arc(state, symbol):
+        a, between, w = first.arc(state[0], symbol)
+        b, written, v = then.arc(state[1], between)
+        return (a, b), written, w + v
 
-def _report() -> Transducer:
-    return Transducer(2, lambda s, x: (1, False) if x == REPORT else (s, s > 0))
+    return Transducer((first.start, then.start), arc)
 
 
-def _target() -> Transducer:
-    return Transducer(TARGET_SCOPE + 1, lambda s, x: (TARGET_SCOPE, False) if x == TARGET else (max(0, s - 1), s > 0))
+def offence(kind: int, negated: bool = False, reported: bool = False, aimed: bool = False) -> int:
+    return OFFENCE + NUMBER[kind, negated, reported, aimed]
 
 
-def compose(*machines: Transducer) -> tuple[np.ndarray, np.ndarray]:
-    """Tables (next, marks) over product states and symbols; marks are bits, one for each machine."""
-    sizes = [m.states for m in machines]
-    states = list(product(*map(range, sizes)))
-    number = {s: i for i, s in enumerate(states)}
-    after, marks = np.zeros((len(states), len(SYMBOLS)), np.int64), np.zeros((len(states), len(SYMBOLS)), np.int64)
-    for s in states:
-        for x in range(len(SYMBOLS)):
-            steps = [m.step(a, x) for m, a in zip(machines, s)]
-            after[number[s], x] = number[tuple(a for a, _ in steps)]
-            marks[number[s], x] = sum(bool(b) << i for i, (_, b) in enumerate(steps))
-    return after, marks
+def insults(phrases: list[tuple[int, ...]], base: dict[int, int]) -> Transducer:
+    """Writes an offence for an insulting word and at the end of a phrase. Its states are the beginnings of phrases.
+
+    ``base`` tells what a symbol of phrases is on its own.
+    """
+    whole, begun = set(phrases), {p[:n] for p in phrases for n in range(len(p))}
+
+    def arc(state: tuple[int, ...], x: int):
+        after = state + (x,)
+        done = any(after[k:] in whole for k in range(len(after)))
+        while after not in begun:
+            after = after[1:]
+        x = base.get(x, x)
+        if done:
+            return after, offence(INSULT), (PHRASE,)
+        if x in (LEARNED, LISTED):
+            return after, offence(INSULT), (WORD_LEARNED if x == LEARNED else WORD_LISTED,)
+        return after, x, ()
+
+    return Transducer((), arc)
+
+
+def threats() -> Transducer:
+    def arc(s: int, x: int):
+        if x == HARM:
+            return s and s - 1, offence(THREAT if s else HARM), (INTENDED if s else HARMFUL,)
+        return (INTENT_SCOPE, x, ()) if x == INTENT else (s and s - 1, x, ())
+
+    return Transducer(0, arc)
+
+
+def _marking(symbol: int, place: int, weight: int, scope: int | None) -> Transducer:
+    """Marks offences after ``symbol``, within ``scope`` words or to the end. State: how many words it still reaches."""
+
+    def arc(s: int, x: int):
+        if x == symbol:
+            return scope or 1, x, ()
+        after = s if scope is None else s and s - 1
+        if s and x >= OFFENCE and not KINDS[x - OFFENCE][place]:
+            kind = list(KINDS[x - OFFENCE])
+            kind[place] = True
+            return after, offence(*kind), (weight,)
+        return after, x, ()
+
+    return Transducer(0, arc)
+
+
+def negation() -> Transducer:
+    return _marking(NEGATION, 1, NEGATED, NEGATION_SCOPE)
+
+
+def reported_speech() -> Transducer:
+    return _marking(REPORT, 2, REPORTED, None)
+
+
+def targets() -> Transducer:
+    return _marking(TARGET, 3, AIMED, TARGET_SCOPE)
+
+
+class Machine:
+    """A transducer whose states are numbered and tabulated when they are first reached."""
+
+    def __init__(self, transducer: Transducer):
+        self.transducer, self.number, self.table = transducer, {transducer.start: 0}, [{}]
+        self.states = [transducer.start]
+
+    def run(self, symbols) -> list[tuple[int, tuple[int, ...]]]:
+        state, done = 0, []
+        for x in symbols:
+            arc = self.table[state].get(x)
+            if arc is None:
+                after, written, weights = self.transducer.arc(self.states[state], x)
+                if after not in self.number:
+                    self.number[after] = len(self.states)
+                    self.states.append(after)
+                    self.table.append({})
+                arc = self.table[state][x] = (self.number[after], (written, weights))
+            state = arc[0]
+            done.append(arc[1])
+        return done
 
 
 class Grammar:
-    """The composed machine with its lexicon; picklable, rebuilt lazily on each worker."""
+    """The composed machines with their lexicon; picklable, rebuilt lazily on each worker."""
 
-    def __init__(self, words: list[str], stems: list[str]):
-        self.words, self.stems, self.built = sorted(words), sorted(stems), False
+    def __init__(self, words: list[str], stems: list[str], listed: list[str] = INSULTS):
+        self.words, self.stems, self.listed, self.built = sorted(words), sorted(stems), sorted(set(listed) - set(words)), False
 
     def __getstate__(self):
-        return self.words, self.stems
+        return self.words, self.stems, self.listed
 
     def __setstate__(self, state):
-        (self.words, self.stems), self.built = state, False
+        (self.words, self.stems, self.listed), self.built = state, False
 
     def _build(self) -> None:
-        self.after, self.marks = (t.tolist() for t in compose(_negation(), _report(), _target()))
-        self.symbol = {w: s for s, ws in ((TARGET, TARGETS), (REPORT, REPORTS), (NEGATION, NEGATIONS), (THREAT, THREATS), (INSULT, self.words)) for w in ws}
+        lists = ((TARGET, TARGETS), (INTENT, INTENTS), (REPORT, REPORTS), (NEGATION, NEGATIONS), (HARM, HARMS), (LISTED, self.listed), (LEARNED, self.words))
+        self.symbol = {w: s for s, ws in lists for w in ws}
         self.stemmed = set(self.stems)
         self.lengths = sorted({len(s) for s in self.stems})
+        parts = {w: PHRASED + n for n, w in enumerate(dict.fromkeys(w for p in PHRASES for w in p))}
+        base = {n: self.classify(w) for w, n in parts.items()}
+        self.symbol |= parts
+        cascade = insults([tuple(parts[w] for w in p) for p in PHRASES], base)
+        for machine in (threats(), negation(), reported_speech(), targets()):
+            cascade = compose(cascade, machine)
+        self.forwards, self.backwards = Machine(cascade), Machine(compose(reported_speech(), targets()))
         self.anchors = ahocorasick.Automaton()
-        for w in [*self.stems, *self.words, *THREATS]:
+        for w in dict.fromkeys([*self.stems, *self.words, *self.listed, *HARMS, *(p[-1] for p in PHRASES)]):
             self.anchors.add_word(w, (len(w), w in self.stemmed))
         self.anchors.make_automaton()
         self.built = True
 
     def classify(self, word: str) -> int:
         found = self.symbol.get(word, OTHER)
-        if found in (OTHER, TARGET) and any(word[:n] in self.stemmed for n in self.lengths if n <= len(word)):
-            return INSULT
+        if found in (OTHER, TARGET, INTENT, LISTED) and any(word[:n] in self.stemmed for n in self.lengths if n <= len(word)):
+            return LEARNED
         return found
 
-    def matches(self, text: str) -> list[tuple[int, int, int]]:
-        """(kind, clause start, clause end) of every offence, in order; positions are those of the lower-cased text."""
+    def read(self, words: list[str]) -> list[tuple[int, tuple[int, ...]]]:
+        """(kind, weights) of a clause's offences, in order; a kind is a place in KINDS."""
         if not self.built:
             self._build()
-        low, ends = text.lower(), []
+        ahead = self.forwards.run(map(self.classify, words))
+        back = self.backwards.run(x for x, _ in reversed(ahead))
+        return [(z - OFFENCE, w + v) for (z, v), (_, w) in zip(reversed(back), ahead) if z >= OFFENCE]
+
+    def matches(self, text: str) -> list[tuple[int, int, int, tuple[int, ...]]]:
+        """(kind, clause start, clause end, weights) of every offence, in order."""
+        if not self.built:
+            self._build()
+        low, starts = text.lower(), []
+        if len(low) != len(text):  # some letters have longer lower-case forms
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         for end, (n, stem) in self.anchors.iter(low):
             start = end - n + 1
             if (start == 0 or not low[start - 1].isalnum()) and (stem or end + 1 == len(low) or not low[end + 1].isalnum()):
-                ends.append(start)
-        found: list[tuple[int, int, int]] = []
-        if not ends:
-            return found
-        cuts = [m.start() for m in CLAUSE_END.finditer(low)]
-        at = 0
-        for c in [*cuts, len(low)]:
-            hit = False
-            while ends and at < len(ends) and ends[at] < c:
-                hit, at = True, at + 1
-            if hit:
-                begin = cuts[k - 1] + 1 if (k := _index(cuts, c)) else 0
-                found += [(kind, begin, c) for kind in self._read([self.classify(m[0]) for m in WORD.finditer(low, begin, c)])]
-            if at == len(ends):
-                break
+                starts.append(start)
+        if not starts:
+            return []
+        cuts = [-1, *(m.start() for m in CLAUSE_END.finditer(low)), len(low)]
+        found: list[tuple[int, int, int, tuple[int, ...]]] = []
+        for k in sorted({bisect_left(cuts, s) for s in starts}):
+            begin, end = cuts[k - 1] + 1, cuts[k]
+            found += [(kind, begin, end, weights) for kind, weights in self.read([m[0] for m in WORD.finditer(low, begin, end)])]
         return found
 
-    def _read(self, symbols: list[int]) -> list[int]:
-        """Kinds of a clause's offences. A target counts before an offence and, read backwards, after it."""
-        forward, state = [], 0
-        for x in symbols:
-            forward.append(self.marks[state][x])
-            state = self.after[state][x]
-        backward, state = [], 0
-        for x in reversed(symbols):
-            backward.append(self.marks[state][x] & 4)
-            state = self.after[state][x]
-        kinds = []
-        for x, f, b in zip(symbols, forward, reversed(backward)):
-            if x in (INSULT, THREAT):
-                kinds.append((x == THREAT) * 8 + bool(f & 1) * 4 + bool(f & 2) * 2 + bool((f | b) & 4))
-        return kinds
-
-    def features(self, found: list[tuple[int, int, int]]) -> np.ndarray:
+    def features(self, found: list[tuple[int, int, int, tuple[int, ...]]]) -> np.ndarray:
         counts = np.zeros(FEATURES)
-        for kind, _, _ in found:
-            counts[kind] += 1
-        total = counts.sum()
+        for *_, weights in found:
+            for w in weights:
+                counts[w] += 1
         counts = np.minimum(counts, COUNT_LIMIT)
-        counts[-2], counts[-1] = log(1 + total), 1
+        counts[-2], counts[-1] = log(1 + len(found)), 1
         return counts
 
 
-def _index(cuts: list[int], c: int) -> int:
-    from bisect import bisect_left
-
-    return bisect_left(cuts, c)
-
-
 def fold(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % FOLDS
 
@@ -265,14 +347,13 @@ def fit(sample: DataFrame) -> tuple[Grammar, np.ndarray]:
     """Learns the lexicon and the weights from a sample that is stored or cheap to read again."""
     counts = sample.mapInArrow(_count_terms, COUNTS).groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     precise = counts.filter((F.col("toxic") >= MIN_DOCS) & (F.col("toxic") >= MIN_PRECISION * (F.col("toxic") + F.col("clean"))))
-    likely = {(r["term"], r["stem"]) for r in precise.orderBy(F.desc("toxic"), "term", "stem").limit(MAX_TERMS).collect()}
+    likely = {(r["term"], r["stem"]) for r in precise.collect()}  # the sample bounds them
     chosen = set()
     if likely:
         contexts = sample.mapInArrow(_contexts(likely), CONTEXTS).groupBy("term", "stem").agg(F.count_distinct("context").alias("n"), F.collect_set("word").alias("words"))
         varied = contexts.filter((F.col("n") >= MIN_CONTEXTS) & (~F.col("stem") | (F.size("words") >= MIN_FORMS)))
         chosen = {(r["term"], r["stem"]) for r in varied.collect()}
-    known = {t for t, _ in chosen}
-    grammar = Grammar([t for t, stem in chosen if not stem] + [w for w in INSULTS if w not in known], [t for t, stem in chosen if stem])
+    grammar = Grammar([t for t, stem in chosen if not stem], [t for t, stem in chosen if stem])
     rows = sample.mapInArrow(_vectors(grammar), VECTORS).collect()
     if not rows or len({r["toxic"] for r in rows}) < 2:
         return grammar, PRIOR.copy()
@@ -292,7 +373,7 @@ def _score(grammar: Grammar, weights: np.ndarray):
                 z = float(np.clip(grammar.features(found) @ weights, -30, 30)) if found else float(weights[-1])
                 scores.append(1 / (1 + exp(-z)))
                 ns.append(len(found))
-                clauses.append(",".join(f"{a}:{b}" for a, b in dict.fromkeys((a, b) for _, a, b in found)))
+                clauses.append(",".join(f"{a}:{b}" for a, b in dict.fromkeys((a, b) for _, a, b, _ in found)))
             yield batch(SCORES_ARROW, rows.column(0).to_pylist(), scores, ns, clauses)
 
     return run

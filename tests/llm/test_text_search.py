@@ -293,6 +293,55 @@ def test_grammar_reads_clauses():
     assert kinds("nothing here") == [] and kinds("") == []
 
 
+def brute_reading(words, insulting, listed):
+    """The kinds and weights of a clause's offences, by looking around each of them."""
+    t, found, kept = toxicity, [], set()
+    for i, w in enumerate(words):
+        phrase = any(tuple(words[max(0, i + 1 - len(p)) : i + 1]) == p for p in t.PHRASES)
+        if phrase or w in insulting or w in listed:
+            found.append((i, t.INSULT, t.PHRASE if phrase else t.WORD_LEARNED if w in insulting else t.WORD_LISTED))
+        elif w in t.HARMS:
+            meant = any(x in t.INTENTS for x in words[max(0, i - t.INTENT_SCOPE) : i])
+            found.append((i, t.THREAT if meant else t.HARM, t.INTENDED if meant else t.HARMFUL))
+        kept |= {i} if found and found[-1][0] == i else set()
+    plain = [None if i in kept else w for i, w in enumerate(words)]  # a word that ends a phrase is an offence and nothing else
+    out = []
+    for i, kind, weight in found:
+        negated = any(x in t.NEGATIONS for x in plain[max(0, i - t.NEGATION_SCOPE) : i])
+        reported = any(x in t.REPORTS for x in plain)
+        aimed = any(x in t.TARGETS for x in plain[max(0, i - t.TARGET_SCOPE) : i + t.TARGET_SCOPE + 1])
+        weights = [weight] + [w for flag, w in ((negated, t.NEGATED), (reported, t.REPORTED), (aimed, t.AIMED)) if flag]
+        out.append(((kind, negated, reported, aimed), sorted(weights)))
+    return out
+
+
+def test_composed_machine_against_brute_force():
+    rng = random.Random(12)
+    grammar = toxicity.Grammar(["grumbler", "snark"], [])
+    vocabulary = [*"a dog runs there grumbler snark idiot trash of piece waste space you they kill burn will gonna not never said wrote shut up go to hell your du".split()]
+    read = 0
+    for _ in range(4000):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(1, 14))]
+        got = [(toxicity.KINDS[k], sorted(w)) for k, w in grammar.read(words)]
+        assert got == brute_reading(words, {"grumbler", "snark"}, set(toxicity.INSULTS)), words
+        read += len(got)
+    assert read > 4000
+
+
+def test_phrases_threats_and_weights():
+    g = toxicity.Grammar([], [])
+    kinds = lambda t: [toxicity.KINDS[k] for k, *_ in g.matches(t)]
+    insult, threat, harm = toxicity.INSULT, toxicity.THREAT, toxicity.HARM
+    assert kinds("You waste of space.") == [(insult, False, False, True)] and kinds("a waste of time. space") == []
+    assert kinds("they should burn") == [(threat, False, False, True)] and kinds("leaves burn") == [(harm, False, False, False)]
+    assert kinds("Shut up, he said") == [(insult, False, True, True)] and kinds("I would never hurt you") == [(threat, True, False, True)]
+    # weights add up along the path, so what is negated or reported weighs less than what is aimed
+    weigh = lambda t: float(g.features(g.matches(t)) @ toxicity.PRIOR)
+    assert weigh("he wrote that no dog is an idiot") < weigh("a dog is an idiot") < weigh("you are an idiot")
+    text = "\u0130stanbul. You idiot."
+    assert [text[a:b] for _, a, b, _ in g.matches(text)] == [" You idiot"]
+
+
 def test_toxicity_odd_rows(spark, odd):
     model = toxicity.fitted(odd, spark.createDataFrame([], "doc_id long, toxic int"))
     rows = toxicity.score_toxicity(odd, model).collect()
