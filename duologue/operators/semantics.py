@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duologue.functions.text import content_terms, tokens
+from duologue.functions.text import content_terms, content_words, tokens
 from duologue.settings import SemanticSettings
 
 
@@ -120,16 +120,10 @@ def segment_topics(usable: DataFrame, cfg: SemanticSettings = SemanticSettings()
 def describe_topics(topics: DataFrame, usable: DataFrame, k: int = 3, cfg: SemanticSettings = SemanticSettings()) -> DataFrame:
     """(session_id, topic, label): the k words of a topic that count most there and least elsewhere."""
     spans = topics.select("session_id", "topic", F.explode(F.sequence("first_pos", "last_pos")).alias("pos"))
-    words = usable.join(spans, ["session_id", "pos"]).select("session_id", "topic", "pos", F.posexplode(F.filter(content_words(F.col("text"), cfg.anchor_len), lambda x: x != "")).alias("at", "term"))
+    words = usable.join(spans, ["session_id", "pos"]).select("session_id", "topic", "pos", F.posexplode(content_words(F.col("text"), cfg.anchor_len)).alias("at", "term"))
     counts = words.groupBy("session_id", "topic", "term").agg(F.count("*").alias("tf"), F.min(F.struct("pos", "at")).alias("seen"))
     n = topics.groupBy("session_id").agg(F.count("*").alias("n"))
     weighed = counts.withColumn("spread", F.count("*").over(Window.partitionBy("session_id", "term"))).join(n, "session_id").withColumn("weight", F.col("tf") * F.log(F.col("n") / F.col("spread") + 1))
     top = weighed.withColumn("r", F.row_number().over(Window.partitionBy("session_id", "topic").orderBy(F.desc("weight"), "seen"))).filter(F.col("r") <= k)
     return top.groupBy("session_id", "topic").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]), ", ").alias("label"))
 
-
-def content_words(text: Column, least: int = 4) -> Column:
-    from duologue.functions import lexicon
-
-    stop = F.array(*map(F.lit, lexicon.stopwords()))
-    return F.filter(tokens(text), lambda x: (F.length(x) >= least) & ~F.array_contains(stop, x))

@@ -13,32 +13,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def runs_of(mask: np.ndarray) -> list[list[int]]:
+    """[first, after last] of each run of true values."""
+    edge = np.flatnonzero(np.diff(np.r_[0, np.asarray(mask, np.int8), 0]))
+    return [[int(a), int(b)] for a, b in zip(edge[::2], edge[1::2])]
+
+
 def hysteresis(p: np.ndarray, hz: float, on: float = 0.5, fall: float = 0.15, hold_s: float = 0.06, min_s: float = 0.1, pad_s: float = 0.03) -> list[tuple[float, float]]:
-    """Spans that open at ``on`` and close once the value stays below ``on - fall`` for ``hold_s``; short ones go, the rest grow by ``pad_s``."""
-    spans: list[tuple[float, float]] = []
-    start, low = None, None
-    for i, x in enumerate(p):
-        if start is None:
-            if x >= on:
-                start, low = i, None
-        elif x < on - fall:
-            low = i if low is None else low
-            if (i - low + 1) / hz >= hold_s:
-                spans.append((start / hz, low / hz))
-                start = None
-        else:
-            low = None
-    if start is not None:
-        spans.append((start / hz, (low if low is not None else len(p)) / hz))
-    out: list[tuple[float, float]] = []
-    for a, b in spans:
-        if b - a >= min_s:
-            a, b = max(0.0, a - pad_s), min(len(p) / hz, b + pad_s)
-            if out and a <= out[-1][1]:
-                out[-1] = (out[-1][0], b)
+    """Spans that open at ``on`` and close once the value stays below ``on - fall`` for ``hold_s``; short ones go, the rest grow by ``pad_s``.
+
+    A span that is open when the track ends lasts to its end, through a dip that was too short to close it.
+    """
+    p = np.asarray(p, float)
+    hold, last = max(1, round(hold_s * hz)), len(p)
+    # silences that close a span: runs below the lower threshold that are long enough; what lies between them opens where it reaches ``on``
+    closing = [r for r in runs_of(p < max(0.01, on - fall)) if r[1] - r[0] >= hold]
+    spans: list[list[float]] = []
+    for begin, end in zip([0, *(b for _, b in closing)], [*(a for a, _ in closing), last]):
+        opened = np.flatnonzero(p[begin:end] >= on)
+        if len(opened) and (end - begin - opened[0]) / hz >= min_s:
+            a, b = max(0.0, (begin + int(opened[0])) / hz - pad_s), min(last / hz, end / hz + pad_s)
+            if spans and a <= spans[-1][1]:
+                spans[-1][1] = b
             else:
-                out.append((a, b))
-    return out
+                spans.append([a, b])
+    return [(a, b) for a, b in spans]
 
 
 def viterbi(emission: np.ndarray, transition: np.ndarray) -> np.ndarray:
@@ -74,13 +73,10 @@ def posteriors(emission: np.ndarray, transition: np.ndarray) -> np.ndarray:
     return np.exp(joint - _logsum(joint, 1)[:, None])
 
 
-def speaker_transitions(hz: float, mean_s: float = 1.0, swap_penalty: float = 1.0) -> np.ndarray:
-    """Log transitions of (silence, A, B, both): long stays, and changes straight from A to B made less likely."""
-    leave = min(0.5, 1 / max(1.0, mean_s * hz))
-    logits = np.full((4, 4), np.log(leave / 3))
-    np.fill_diagonal(logits, np.log(1 - leave))
-    logits[1, 2] -= swap_penalty
-    logits[2, 1] -= swap_penalty
+def speaker_transitions(stay: float = 6.0, swap_penalty: float = 1.0) -> np.ndarray:
+    """Log transitions of (silence, A, B, both): long stays by a logit, and changes straight from A to B made less likely."""
+    logits = np.eye(4) * stay
+    logits[[1, 2], [2, 1]] -= swap_penalty
     return logits - _logsum(logits, 1)[:, None]
 
 
@@ -105,15 +101,28 @@ def absorb_short_runs(states: np.ndarray, least: int, only: int | None = None) -
     return np.repeat([s for s, _ in runs], [n for _, n in runs]).astype(states.dtype)
 
 
-def bandpass(x: np.ndarray, hz: float, lo: float, hi: float) -> np.ndarray:
-    """Zero-phase band-pass by Fourier transform, edges rounded off over a fifth of each bound."""
+def clean_states(states: np.ndarray, least: int, least_overlap: int = 0) -> np.ndarray:
+    """Runs below their least lengths are absorbed, overlap by its own one first, so that bursts of it do not grow together."""
+    return absorb_short_runs(absorb_short_runs(states, least_overlap, only=3), least)
+
+
+def fourier_filter(x: np.ndarray, hz: float, lo: float | None = None, hi: float | None = None, power: int = 8) -> np.ndarray:
+    """Zero-phase high-, low- or band-pass by Fourier transform, on the signal mirrored at both ends."""
     n, pad = len(x), min(len(x), int(hz))
     y = np.r_[x[:pad][::-1], x, x[n - pad :][::-1]] if pad else x
     f = np.fft.rfftfreq(len(y), 1 / hz)
-    gain = 1 / (1 + (lo / np.maximum(f, 1e-9)) ** 8) / (1 + (f / hi) ** 8)
+    gain = np.ones(len(f))
+    if lo:
+        gain /= 1 + (lo / np.maximum(f, 1e-9)) ** power
+    if hi:
+        gain /= 1 + (f / hi) ** power
     return np.fft.irfft(np.fft.rfft(y) * gain, len(y))[pad : pad + n]
 
 
+def bandpass(x: np.ndarray, hz: float, lo: float, hi: float) -> np.ndarray:
+    return fourier_filter(x, hz, lo, hi)
+
+
 def analytic(x: np.ndarray) -> np.ndarray:
     """The signal with its Hilbert transform as imaginary part."""
     n = len(x)
@@ -126,7 +135,7 @@ def analytic(x: np.ndarray) -> np.ndarray:
 
 
 def oscillations(main: np.ndarray, other: np.ndarray, hz: float, lo: float = 1.5, hi: float = 5.0, amplitude: float = 1.5, cycles: float = 1.2) -> list[tuple[float, float]]:
-    """Spans where ``main`` swings by at least the amplitude, more than ``other`` does, for enough cycles: nods in pitch, shakes in yaw."""
+    """Spans where ``main`` swings by at least the amplitude, and by no less than ``other`` does, for enough cycles: nods in pitch, shakes in yaw."""
     known = np.isfinite(main) & np.isfinite(other)
     if known.sum() < hz:
         return []
@@ -134,41 +143,79 @@ def oscillations(main: np.ndarray, other: np.ndarray, hz: float, lo: float = 1.5
     fill = lambda x: np.interp(at, at[known], x[known])
     z, w = analytic(bandpass(fill(main), hz, lo, hi)), np.abs(analytic(bandpass(fill(other), hz, lo, hi)))
     swing = np.abs(z)
-    mask = (swing >= amplitude) & (swing > w) & known
-    edge = np.flatnonzero(np.diff(np.r_[0, mask.astype(int), 0]))
     phase = np.unwrap(np.angle(z)) / (2 * np.pi)
-    return [(a / hz, b / hz) for a, b in zip(edge[::2], edge[1::2]) if abs(phase[b - 1] - phase[a]) >= cycles]
+    spans = runs_of((swing >= amplitude) & (swing >= w) & known)
+    # cycles are counted to the frame after the span, where there is one
+    return [(a / hz, b / hz) for a, b in spans if abs(phase[min(b, len(phase) - 1)] - phase[a]) >= cycles]
 
 
-def gcc_phat(a: np.ndarray, b: np.ndarray, hz: float, max_lag_s: float) -> tuple[float, float]:
-    """(lag in seconds, sharpness): the peak of the whitened cross-correlation, refined by a parabola. Positive: b is later."""
-    n = 1 << (len(a) + len(b) - 1).bit_length()
-    cross = np.fft.rfft(b, n) * np.conj(np.fft.rfft(a, n))
-    r = np.fft.irfft(cross / np.maximum(np.abs(cross), 1e-12), n)
-    reach = max(1, min(int(max_lag_s * hz), n // 2 - 1))
-    r = np.r_[r[-reach:], r[: reach + 1]]
-    k = int(np.argmax(r))
+def correlation_peak(surface: np.ndarray, reach: int, refine: bool = False) -> tuple[float, float]:
+    """(lag, sharpness) of the peak of a correlation over lags -reach..reach: sharpness is the peak over the standard deviation."""
+    k, spread = int(np.argmax(surface)), float(surface.std())
     shift = 0.0
-    if 0 < k < len(r) - 1 and (curve := r[k - 1] - 2 * r[k] + r[k + 1]) != 0:
-        shift = float(np.clip(0.5 * (r[k - 1] - r[k + 1]) / curve, -0.5, 0.5))
-    return (k - reach + shift) / hz, float(r[k] / max(r.std(), 1e-12))
+    if refine and 0 < k < len(surface) - 1:
+        left, top, right = surface[k - 1 : k + 2]
+        if abs(curve := left - 2 * top + right) > 1e-9:
+            shift = float(np.clip((left - right) / (2 * curve), -0.5, 0.5))
+    return k - reach + shift, float(surface[k] / spread) if spread > 1e-9 else 0.0
+
+
+def _correlation(a: np.ndarray, b: np.ndarray, reach: int, whiten: bool) -> tuple[np.ndarray, int]:
+    """Circular correlation of a against b at lags -reach..reach, with zeros between them; positive lags: a is later."""
+    n = 1 << (len(a) + len(b) - 1).bit_length()
+    cross = np.fft.rfft(a, n) * np.conj(np.fft.rfft(b, n))
+    r = np.fft.irfft(cross / (np.abs(cross) + 1e-9) if whiten else cross, n)
+    reach = min(reach, n // 2 - 1)
+    return np.roll(r, reach)[: 2 * reach + 1], reach
+
+
+def gcc_phat(a: np.ndarray, b: np.ndarray, hz: float, max_lag_s: float) -> tuple[float, float]:
+    """(delay of a in seconds, sharpness): the peak of the whitened cross-correlation, refined by a parabola. Positive: a is later."""
+    if not len(a) or not len(b) or round(max_lag_s * hz) < 1:
+        return float("nan"), 0.0
+    surface, reach = _correlation(np.asarray(a, float), np.asarray(b, float), round(max_lag_s * hz), True)
+    lag, sharp = correlation_peak(surface, reach, refine=True)
+    return lag / hz, sharp
+
+
+def coarse_lag(a: np.ndarray, b: np.ndarray, reach: int) -> tuple[int, float]:
+    """(samples by which a is later, sharpness) of the plain correlation, each lag over the samples that overlap at it."""
+    surface, reach = _correlation(np.asarray(a, float), np.asarray(b, float), reach, False)
+    overlap = np.maximum(1.0, min(len(a), len(b)) - np.abs(np.arange(-reach, reach + 1)))
+    lag, sharp = correlation_peak(surface / overlap, reach)
+    return int(lag), sharp
+
+
+def box_mean(x: np.ndarray, size: int) -> np.ndarray:
+    """Running mean over ``size`` values, the edge values held beyond the ends."""
+    left = size // 2
+    total = np.cumsum(np.r_[0.0, np.pad(np.asarray(x, float), (left, size - 1 - left), mode="edge")])
+    return (total[size:] - total[:-size]) / size
+
 
+def filled_pauses(mfcc: np.ndarray, log_f0: np.ndarray, speech: np.ndarray, hz: float, steady_pct: float = 15, flat_pct: float = 45, smooth_s: float = 0.05, gap_s: float = 0.06, min_s: float = 0.16, max_s: float = 1.2, min_speech_s: float = 5.0) -> list[tuple[float, float]]:
+    """Held vowels in one person's speech: voiced frames whose spectrum and pitch hardly move, by the speaker's own percentiles.
 
-def filled_pauses(pitch: np.ndarray, voiced: np.ndarray, flatness: np.ndarray, speech: np.ndarray, hz: float, steady_pct: float = 15, flat_pct: float = 45, gap_s: float = 0.06, min_s: float = 0.16, max_s: float = 1.2) -> list[tuple[float, float]]:
-    """Held vowels: voiced frames whose pitch hardly moves and whose spectrum is flat, by the speaker's own percentiles."""
-    move = np.abs(np.gradient(pitch))
-    ok = speech & voiced & np.isfinite(move) & np.isfinite(flatness)
-    if ok.sum() < 10:
+    ``mfcc`` is (frames, coefficients), ``log_f0`` is not a number where unvoiced. With too little speech, or
+    too few voiced frames, there is nothing to judge by and nothing is found.
+    """
+    speech, voiced = np.asarray(speech, bool), np.isfinite(log_f0)
+    if speech.sum() < max(50, int(min_speech_s * hz)) or (speech & voiced).sum() < 25:
         return []
-    mask = ok & (move <= np.percentile(move[ok], steady_pct)) & (flatness <= np.percentile(flatness[ok], flat_pct))
-    edge = np.flatnonzero(np.diff(np.r_[0, mask.astype(int), 0]))
+    at, size = np.arange(len(log_f0)), max(1, round(smooth_s * hz))
+    step = lambda x: np.abs(np.diff(x, axis=0, prepend=x[:1]))
+    flux = box_mean(np.sqrt((step(mfcc) ** 2).sum(axis=1)), size)
+    semitones = np.interp(at, at[voiced], log_f0[voiced]) * 12 / np.log(2)
+    slope = box_mean(step(semitones) * hz, size)
+    steady = flux <= np.percentile(flux[speech], steady_pct)
+    flat = slope <= np.percentile(slope[speech & voiced], flat_pct)
     spans: list[list[float]] = []
-    for a, b in zip(edge[::2] / hz, edge[1::2] / hz):
-        if spans and a - spans[-1][1] <= gap_s:
-            spans[-1][1] = b
+    for a, b in runs_of(speech & voiced & steady & flat):
+        if spans and a / hz - spans[-1][1] <= gap_s:
+            spans[-1][1] = b / hz
         else:
-            spans.append([a, b])
-    return [(float(a), float(b)) for a, b in spans if min_s <= b - a <= max_s]
+            spans.append([a / hz, b / hz])
+    return [(a, b) for a, b in spans if min_s <= b - a <= max_s]
 
 
 SPANS = "session_id string, person string, start_s double, end_s double"
@@ -193,13 +240,13 @@ def shakes(frames: DataFrame, hz: float) -> DataFrame:
     return spans_by(frames, ["head_yaw", "head_pitch"], oscillations, hz)
 
 
-def decode_speakers(emissions: DataFrame, hz: float, min_run_s: float = 0.2) -> DataFrame:
+def decode_speakers(emissions: DataFrame, hz: float, min_run_s: float = 0.15, min_overlap_s: float = 0.2) -> DataFrame:
     """(session_id, i, speaker_state, confidence) from frame log likelihoods (session_id, i, e array of 4)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
-        e, t = np.stack(pdf["e"].map(np.asarray).to_list()).astype(float), speaker_transitions(hz)
-        states = absorb_short_runs(viterbi(e, t), max(1, int(min_run_s * hz)))
+        e, t = np.stack(pdf["e"].map(np.asarray).to_list()).astype(float), speaker_transitions()
+        states = clean_states(viterbi(e, t), max(1, round(min_run_s * hz)), max(1, round(min_overlap_s * hz)))
         p = posteriors(e, t)
         return pd.DataFrame({"session_id": pdf["session_id"].iloc[0], "i": pdf["i"].to_numpy(), "speaker_state": states, "confidence": p[np.arange(len(p)), states].astype(np.float32)})
 

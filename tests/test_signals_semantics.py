@@ -101,16 +101,64 @@ def test_kernels():
     assert signals.absorb_short_runs(states, 3).tolist() == [1] * 17 + [0] * 20
     e = np.log(np.full((60, 4), 0.1))
     e[:30, 1] = e[30:, 2] = 0
-    path = signals.viterbi(e, signals.speaker_transitions(100.0))
+    path = signals.viterbi(e, signals.speaker_transitions())
     assert path.tolist() == [1] * 30 + [2] * 30
-    assert np.allclose(signals.posteriors(e, signals.speaker_transitions(100.0)).sum(axis=1), 1)
+    assert np.allclose(signals.posteriors(e, signals.speaker_transitions()).sum(axis=1), 1)
     t = np.arange(6000) / 100
     pitch = np.where((t > 10) & (t < 12), 6 * np.sin(2 * np.pi * 2.5 * t), 0)
     found = signals.oscillations(pitch, np.zeros(6000), 100.0)
     assert len(found) == 1 and 9.5 < found[0][0] < 10.5 and signals.oscillations(np.zeros(6000), pitch, 100.0) == []
     noise = np.random.default_rng(1).normal(size=4000)
-    lag, sharp = signals.gcc_phat(noise, np.roll(noise, 37), 1000.0, 0.5)
+    lag, sharp = signals.gcc_phat(np.roll(noise, 37), noise, 1000.0, 0.5)  # the first one is later
     assert lag == pytest.approx(0.037, abs=1e-3) and sharp > 5
+    assert signals.coarse_lag(noise[:3000], noise[100:3100], 500)[0] == 100 and np.isnan(signals.gcc_phat(noise[:0], noise, 1000.0, 0.5)[0])
+
+
+def test_hysteresis_at_the_end_of_a_track():
+    low = [0.0] * 5
+    assert signals.hysteresis(np.array([0.9] * 50 + low), 100.0) == [(0.0, pytest.approx(0.55))]  # too short a dip to close
+    assert signals.hysteresis(np.array([0.9] * 50 + [0.0] * 6), 100.0) == [(0.0, pytest.approx(0.53))]
+    assert signals.hysteresis(np.array([0.4] * 50), 100.0) == [] and signals.hysteresis(np.zeros(0), 100.0) == []
+    # the lower threshold is at least 0.01
+    assert signals.hysteresis(np.array([0.2] * 20 + [0.0] * 20), 100.0, on=0.1) == [(0.0, pytest.approx(0.23))]
+
+    def stepwise(p, hz, on=0.5, off=0.35, hold=6):
+        mask, start, low = np.zeros(len(p), bool), None, 0
+        for i, x in enumerate(p):
+            if start is None:
+                start, low = (i, 0) if x >= on else (None, 0)
+            else:
+                low = low + 1 if x < off else 0
+                if low >= hold:
+                    mask[start : i - low + 1], start = True, None
+        if start is not None:
+            mask[start:] = True
+        return [(a, b) for a, b in signals.runs_of(mask) if b - a >= 10]
+
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        p = np.repeat(rng.random(20), rng.integers(1, 14, 20))
+        got = signals.hysteresis(p, 100.0, pad_s=0.0)
+        assert [(round(a * 100), round(b * 100)) for a, b in got] == stepwise(p, 100.0)
+
+
+def test_overlap_is_cleaned_first():
+    states = np.array([1] * 10 + [3] * 4 + [2] * 2 + [3] * 4 + [1] * 10, np.int8)
+    assert signals.clean_states(states, 3, 5).tolist() == [1] * 30
+    assert signals.clean_states(states, 3).tolist() == [1] * 10 + [3] * 10 + [1] * 10
+
+
+def test_filled_pauses():
+    rng = np.random.default_rng(2)
+    n, hz = 3000, 100.0
+    mfcc, pitch = np.cumsum(rng.normal(size=(n, 12)), axis=0), np.log(120 + 30 * np.sin(np.arange(n) / 5) + rng.normal(size=n))
+    for a, b in ((500, 560), (1500, 1540), (2000, 2010)):
+        mfcc[a:b], pitch[a:b] = mfcc[a], pitch[a]
+    got = signals.filled_pauses(mfcc, pitch, np.ones(n, bool), hz)
+    assert len(got) == 2 and [round(a, 1) for a, _ in got] == [5.0, 15.0]
+    pitch[520:540] = np.nan
+    assert len(signals.filled_pauses(mfcc, pitch, np.ones(n, bool), hz)) >= 1
+    assert signals.filled_pauses(mfcc, pitch, np.arange(n) < 300, hz) == [] and signals.filled_pauses(mfcc, np.full(n, np.nan), np.ones(n, bool), hz) == []
 
 
 def test_kernels_by_session(spark):
