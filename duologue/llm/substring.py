@@ -25,6 +25,9 @@ extra columns are not read.
 
 from __future__ import annotations
 
+from functools import cache
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -47,8 +50,7 @@ INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    h = xxhash.xxh3_64_intdigest
-    return np.array([h(w) for w in words], np.uint64)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def gram_hashes(hashes: np.ndarray, n: int = GRAM) -> np.ndarray:
@@ -203,7 +205,7 @@ class Strings:
         self.text = np.zeros(self.ends[-1] + 1, np.int64)
         inside = np.ones(len(self.text), bool)
         inside[self.ends] = False
-        self.text[inside] = np.fromiter((symbol.get(w, 0) for w in words), np.int64, len(words))
+        self.text[inside] = np.fromiter(map(symbol.get, words, repeat(0)), np.int64, len(words))
 
 
 def indexed(strings: list[bytes], span: int) -> tuple[FMIndex, dict[bytes, int]]:
@@ -220,8 +222,16 @@ def matched(index: FMIndex, symbol: dict[bytes, int], strings: list[bytes], span
     return [flags[b : e - span + 1] for b, e in zip(s.begins.tolist(), s.ends.tolist())]
 
 
+@cache
+def _whole(n: int) -> bytes:
+    return np.array([0, n], np.int32).tobytes()
+
+
 def _intervals(flags: np.ndarray) -> bytes | None:
     """Starts and lengths of the runs of true flags."""
+    n = int(np.count_nonzero(flags))
+    if n in (0, len(flags)):
+        return _whole(n) if n else None
     edge = np.flatnonzero(np.diff(np.r_[False, flags, False].astype(np.int8)))
     return np.stack([edge[::2], edge[1::2] - edge[::2]]).astype(np.int32).tobytes() if len(edge) else None
 
@@ -340,15 +350,15 @@ CLEAN, CLEAN_ARROW = out("id long, n_words long, n_removed long, text string")
 
 
 def removed_words(words: list[bytes], runs: list[dict], span: int = SPAN) -> np.ndarray:
-    content = Content(word_hashes(words))
+    begin = np.array([r["at"] for r in runs], np.int64)
+    end = begin + np.array([r["windows"] for r in runs], np.int64) + span - 1
+    known = np.flatnonzero(end <= len(words))
+    same = Content(word_hashes(words)).of(begin[known], end[known]).view(np.int64) == np.array([runs[k]["content"] for k in known], np.int64)
     edge = np.zeros(len(words) + 1, np.int64)
-    for r in runs:
-        a, b = r["at"], r["at"] + r["windows"] + span - 1
-        if b > len(words) or int(content.of(np.array([a]), np.array([b]))[0]) != r["content"] & (1 << 64) - 1:
-            continue
-        begin, count = np.frombuffer(r["which"], np.int32).reshape(2, -1)
-        np.add.at(edge, a + begin, 1)
-        np.add.at(edge, a + begin + count + span - 1, -1)
+    for k in known[same].tolist():
+        first, count = np.frombuffer(runs[k]["which"], np.int32).reshape(2, -1)
+        np.add.at(edge, runs[k]["at"] + first, 1)
+        np.add.at(edge, runs[k]["at"] + first + count + span - 1, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
