@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from duologue.settings import SynchronySettings
 
 TINY = 1e-12
+#: Values of surrogate windows that are in memory at once.
+CHUNK = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -37,17 +39,35 @@ class Synchrony:
         return bool(np.isfinite(self.z) and self.z > 1.96)
 
 
-def _windows(x: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Standardised windows as rows, gaps filled linearly, and which of them are usable."""
-    rows = np.stack([x[s : s + width] for s in starts])
-    ok = np.isfinite(rows).sum(axis=1) >= max(2, 0.5 * width)
-    for k in np.flatnonzero(ok & ~np.isfinite(rows).all(axis=1)):
-        known = np.flatnonzero(np.isfinite(rows[k]))
-        rows[k] = np.interp(np.arange(width), known, rows[k][known])
-    rows[~ok] = 0
-    sd = rows.std(axis=1)
-    ok &= sd >= TINY
-    return (rows - rows.mean(axis=1, keepdims=True)) / np.where(ok, sd, 1)[:, None], ok
+class Series:
+    """A signal laid out twice, so that a window of any circular shift of it is a slice; gaps are known by their edges."""
+
+    def __init__(self, x: np.ndarray):
+        twice = np.r_[x, x]
+        self.n, known = len(x), np.isfinite(twice)
+        self.values, at = np.where(known, twice, 0.0), np.arange(len(twice))
+        self.count = np.r_[0, np.cumsum(known)]
+        self.whole = bool(known.all())
+        self.past = np.maximum.accumulate(np.where(known, at, -1))
+        self.next = np.minimum.accumulate(np.where(known, at, len(twice))[::-1])[::-1]
+
+    def windows(self, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Standardised windows as rows, gaps filled linearly within each, and which of them are usable."""
+        at = starts[:, None] + np.arange(width)
+        rows = self.values[at]
+        ok = self.count[starts + width] - self.count[starts] >= max(2, 0.5 * width)
+        if not self.whole:
+            last = len(self.values) - 1
+            a, b = self.past[at], self.next[at]
+            first, end = starts[:, None], starts[:, None] + width
+            left, right = a >= first, b < end
+            x, y = self.values[np.maximum(a, 0)], self.values[np.minimum(b, last)]
+            between = x + (y - x) * (at - a) / np.maximum(b - a, 1)
+            rows = np.where(left & right, between, np.where(left, x, np.where(right, y, 0.0)))
+        rows[~ok] = 0
+        sd = rows.std(axis=1)
+        ok &= sd >= TINY
+        return (rows - rows.mean(axis=1, keepdims=True)) / np.where(ok, sd, 1)[:, None], ok
 
 
 def windowed_correlation(a: np.ndarray, b: np.ndarray, hz: float, cfg: SynchronySettings = SynchronySettings(), restrict: str | None = None) -> Synchrony:
@@ -62,29 +82,37 @@ def windowed_correlation(a: np.ndarray, b: np.ndarray, hz: float, cfg: Synchrony
     lags = np.arange(-reach, reach + 1)
     allowed = lags < 0 if restrict == "a_leads" else lags > 0 if restrict == "b_leads" else np.ones(len(lags), bool)
     size = 1 << (2 * width - 1).bit_length()
-    wa, ok_a = _windows(a, starts, width)
+    wa, ok_a = Series(a).windows(starts, width)
     fa = np.fft.rfft(wa, size, axis=1)
-
-    def score(series: np.ndarray) -> tuple[float, float, int]:
-        wb, ok_b = _windows(series, starts, width)
-        ok = ok_a & ok_b
-        if not ok.any():
-            return np.nan, np.nan, 0
-        c = np.fft.irfft(fa[ok] * np.conj(np.fft.rfft(wb[ok], size, axis=1)), size, axis=1)
-        values = np.concatenate([c[:, -reach:], c[:, : reach + 1]], axis=1) / (width - np.abs(lags))
-        values = values[:, allowed]
-        best = values.argmax(axis=1)
-        return float(values[np.arange(len(best)), best].mean()), float(np.median(lags[allowed][best])) / hz, int(ok.sum())
-
-    peak, lag, count = score(b)
+    other, per_lag = Series(b), (width - np.abs(lags))[allowed]
+
+    def peaks(shifts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each circular shift of b and window the peak, its lag, and whether the window is usable."""
+        at = (starts[None, :] - shifts[:, None]) % n
+        wb, ok_b = other.windows(at.ravel(), width)
+        spectrum = np.fft.rfft(wb, size, axis=1).reshape(len(shifts), len(starts), -1)
+        c = np.fft.irfft(fa[None] * np.conj(spectrum), size, axis=2)
+        values = np.concatenate([c[:, :, -reach:], c[:, :, : reach + 1]], axis=2)[:, :, allowed] / per_lag
+        best = values.argmax(axis=2)
+        return np.take_along_axis(values, best[:, :, None], 2)[:, :, 0], lags[allowed][best], ok_a & ok_b.reshape(at.shape)
+
+    top, at, ok = (x[0] for x in peaks(np.zeros(1, np.int64)))
+    count = int(ok.sum())
     if not count:
         return Synchrony()
+    peak, lag = float(top[ok].mean()), float(np.median(at[ok])) / hz
     least = max(1, int(min(cfg.min_shift_s, n / hz / 4) * hz))
     if n - least <= least:
         return Synchrony(peak, lag, n_windows=count)
     rng = np.random.default_rng(cfg.seed)
-    null = [score(np.roll(b, int(rng.integers(least, n - least)))) for _ in range(cfg.surrogates)]
-    null_r = np.array([r for r, _, k in null if k and np.isfinite(r)])
+    shifts = np.array([int(rng.integers(least, n - least)) for _ in range(cfg.surrogates)], np.int64)
+    step_ = max(1, CHUNK // (len(starts) * size))  # surrogates at a time, in bounded memory
+    found = [peaks(shifts[k : k + step_]) for k in range(0, len(shifts), step_)]
+    tops, oks = np.concatenate([f[0] for f in found]), np.concatenate([f[2] for f in found])
+    used = oks.any(axis=1)
+    with np.errstate(invalid="ignore"):
+        means = np.where(oks, tops, 0.0).sum(axis=1) / np.maximum(oks.sum(axis=1), 1)
+    null_r = means[used & np.isfinite(means)]
     if len(null_r) < 5:
         return Synchrony(peak, lag, n_windows=count, n_surrogates=len(null_r))
     mean, sd = float(null_r.mean()), float(null_r.std())

@@ -7,6 +7,8 @@ the holder is the latest unit that did, and a unit is part of a turn if it did o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -147,9 +149,13 @@ def find_interruptions(turns: DataFrame, non_floor: DataFrame, speech: DataFrame
         F.when(F.col("overlap") <= cfg.transition_max_s, F.lit("transition_overlap")).otherwise(F.lit("interruption")).alias("kind"),
     )
     tried = non_floor.withColumn("overlap", F.col("containment") * (F.col("end_s") - F.col("start_s"))).filter(F.col("overlap") >= cfg.overlap_min_s)
-    held = turns.select("session_id", other(F.col("person")).alias("person"), F.col("start_s").alias("h0"), F.col("end_s").alias("h1"), "turn_index")
-    inside = tried.join(held, ["session_id", "person"]).filter((F.col("h0") <= F.col("start_s")) & (F.col("start_s") <= F.col("h1")))
-    last = inside.groupBy("unit", "session_id", "person", "start_s", "overlap").agg(F.max(F.struct("turn_index", "h1")).alias("h"))
+    # the partner's turn that a unit starts in is the last one to start before it: a person's turns do not overlap
+    h = "struct<turn_index:int,h1:double>"
+    held = turns.select("session_id", other(F.col("person")).alias("person"), F.col("start_s").alias("t"), F.lit(0).alias("kind"), F.struct("turn_index", F.col("end_s").alias("h1")).cast(h).alias("h"))
+    asked = tried.select("session_id", "person", F.col("start_s").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast(h).alias("h"), "start_s", "overlap")
+    upto = Window.partitionBy("session_id", "person").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = held.unionByName(asked, allowMissingColumns=True).withColumn("h", F.last("h", ignorenulls=True).over(upto))
+    last = met.filter((F.col("kind") == 1) & (F.col("start_s") <= F.col("h.h1")))
     failed = last.filter(F.col("h.h1") - F.col("start_s") > cfg.transition_max_s).select(
         "session_id",
         F.col("start_s").alias("time_s"),
@@ -164,11 +170,12 @@ def find_interruptions(turns: DataFrame, non_floor: DataFrame, speech: DataFrame
     return taken.unionByName(failed)
 
 
-def build_turn_set(speech: DataFrame, words: DataFrame | None = None, cfg: TurnSettings = TurnSettings()) -> TurnSet:
+def build_turn_set(speech: DataFrame, words: DataFrame | None = None, cfg: TurnSettings = TurnSettings(), hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> TurnSet:
+    """``hold`` is given the two tables that others are made of, to persist them for as long as the caller wants."""
     speech = iv.normalize(speech)
-    ipus = classify_backchannels(build_ipus(speech, words, cfg), cfg).persist()
+    ipus = hold(classify_backchannels(build_ipus(speech, words, cfg), cfg))
     turns, non_floor = build_turns(ipus.filter("NOT is_backchannel"), cfg)
-    turns = turns.persist()
+    turns = hold(turns)
     return TurnSet(speech, ipus, ipus.filter("is_backchannel"), turns, non_floor, find_interruptions(turns, non_floor, speech, cfg))
 
 

@@ -33,10 +33,29 @@ class Corpus:
     artifacts: DataFrame | None = None
     turns: DataFrame | None = None
     settings: Settings = field(default_factory=Settings)
+    #: Tables that several measures share, by name, and what is persisted for this corpus.
+    made: dict[str, DataFrame] = field(default_factory=dict, repr=False)
+    held: list[DataFrame] = field(default_factory=list, repr=False)
+
+    def hold(self, df: DataFrame) -> DataFrame:
+        """Persists a table that is read more than once, until ``release``."""
+        self.held.append(df.persist())
+        return df
+
+    def release(self) -> None:
+        """Lets go of all that is persisted; results that were not written are computed anew when read again."""
+        while self.held:
+            self.held.pop().unpersist()
+
+    def __enter__(self) -> Corpus:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.release()
 
     @cached_property
     def turn_set(self) -> turns.TurnSet:
-        made = turns.build_turn_set(self.speech, self.words, self.settings.turns)
+        made = turns.build_turn_set(self.speech, self.words, self.settings.turns, self.hold)
         if self.turns is not None:  # turns given as a table are taken as they are
             non_floor = made.ipus.limit(0)
             made = turns.TurnSet(made.speech, made.ipus, made.backchannels, self.turns, non_floor, turns.find_interruptions(self.turns, non_floor, made.speech, self.settings.turns))
@@ -44,7 +63,7 @@ class Corpus:
 
     @cached_property
     def usable_turns(self) -> DataFrame:
-        return semantics.usable_turns(self.turn_set.turns, self.embeddings, self.settings.semantic).persist()
+        return self.hold(semantics.usable_turns(self.turn_set.turns, self.embeddings, self.settings.semantic))
 
     @cached_property
     def spine(self) -> DataFrame:

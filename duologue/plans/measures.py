@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -392,12 +394,31 @@ register("median_topic_duration", "topics", lambda: c("topic_median"))
 # ---------------------------------------------------------------- face, gaze, body: frames
 
 
+def _flagged_frames(corpus: Corpus) -> DataFrame:
+    """Frames with a flag for each kind of span they lie in; all kinds are joined at once."""
+    if corpus.speech is None:
+        return corpus.frames
+    ts, rate = corpus.turn_set, corpus.sessions.select("session_id", "frame_hz")
+    heard = turns.listening(ts.turns, ts.speech)
+    kinds = {"lis": (heard, False), "vlis": (heard, True), "spk": (iv.normalize(ts.turns), False), "vspk": (ts.speech, True)}
+    inside = [iv.to_frames(spans.join(rate, "session_id"), c("frame_hz"), KEYS, outer).select(*KEYS, "i", lit(name).alias("kind")) for name, (spans, outer) in kinds.items()]
+    flags = reduce(DataFrame.unionByName, inside).groupBy(*KEYS, "i").agg(*(F.bool_or(c("kind") == name).alias(name) for name in kinds))
+    return corpus.frames.join(flags, [*KEYS, "i"], "left")
+
+
 @person_facts("face")
 def face_facts(corpus: Corpus) -> DataFrame:
-    f = corpus.frames
+    """All that is counted over frames of faces, in one aggregate: overall, while listening, and while speaking."""
+    f = _flagged_frames(corpus)
     tracked, on = c("tracked"), c("on_partner")
     valence = F.when(tracked, F.nanvl(c("valence"), lit(None)))
     expressive = F.nanvl(c("expressivity"), lit(None))
+    within: list[Column] = []
+    if corpus.speech is not None:
+        for name in ("lis", "spk"):
+            within += [F.count_if(tracked & c(name)).alias(f"{name}_n"), F.avg(F.when(tracked & c(name), on.cast("double"))).alias(f"{name}_gaze")]
+        for name in ("vlis", "vspk"):
+            within += [F.count(F.when(c(name), valence)).alias(f"{name}_nv"), F.avg(F.when(c(name), valence)).alias(f"{name}_valence")]
     return f.groupBy(*KEYS).agg(
         F.count_if(tracked).alias("n_tracked"),
         share(tracked).alias("coverage"),
@@ -409,37 +430,10 @@ def face_facts(corpus: Corpus) -> DataFrame:
         F.count(valence).alias("n_valence"),
         F.avg(valence).alias("valence_mean"),
         F.stddev_pop(valence).alias("valence_sd"),
+        *within,
     )
 
 
-def _within(corpus: Corpus, spans: DataFrame, name: str, outer: bool) -> DataFrame:
-    rate = corpus.sessions.select("session_id", "frame_hz")
-    inside = iv.to_frames(spans.join(rate, "session_id"), c("frame_hz"), KEYS, outer)
-    rows = corpus.frames.join(inside, [*KEYS, "i"], "left_semi")
-    valence = F.when(c("tracked"), F.nanvl(c("valence"), lit(None)))
-    return rows.groupBy(*KEYS).agg(F.count_if(c("tracked")).alias(f"{name}_n"), F.avg(F.when(c("tracked"), c("on_partner").cast("double"))).alias(f"{name}_gaze"), F.count(valence).alias(f"{name}_nv"), F.avg(valence).alias(f"{name}_valence"))
-
-
-@person_facts("face_listening")
-def face_listening(corpus: Corpus) -> DataFrame:
-    return _within(corpus, turns.listening(corpus.turn_set.turns, corpus.turn_set.speech), "lis", False).drop("lis_nv", "lis_valence")
-
-
-@person_facts("valence_listening")
-def valence_listening(corpus: Corpus) -> DataFrame:
-    return _within(corpus, turns.listening(corpus.turn_set.turns, corpus.turn_set.speech), "vlis", True).select(*KEYS, "vlis_nv", "vlis_valence")
-
-
-@person_facts("face_turns")
-def face_turns(corpus: Corpus) -> DataFrame:
-    return _within(corpus, iv.normalize(corpus.turn_set.turns), "spk", False).select(*KEYS, "spk_n", "spk_gaze")
-
-
-@person_facts("valence_speaking")
-def valence_speaking(corpus: Corpus) -> DataFrame:
-    return _within(corpus, corpus.turn_set.speech, "vspk", True).select(*KEYS, "vspk_nv", "vspk_valence")
-
-
 @person_facts("affect_share")
 def affect_share(corpus: Corpus) -> DataFrame:
     """Shares of a person's frames beyond the quartiles of both persons' together."""
@@ -526,9 +520,9 @@ both_ok = lambda x: F.when((a("coverage") >= 0.6) & (b("coverage") >= 0.6), x)
 body_ok = lambda x: F.when(c("body_coverage") >= 0.6, x)
 
 register("gaze_partner_proportion", "face", lambda: ok(F.when(c("n_tracked") >= 10, c("gaze"))))
-register("gaze_while_listening", "face face_listening", lambda: ok(F.when(c("lis_n") >= 10, c("lis_gaze"))))
-register("gaze_while_speaking", "face face_turns", lambda: ok(F.when(c("spk_n") >= 10, c("spk_gaze"))))
-register("gaze_speaker_listener_gap", "face face_listening face_turns", lambda: ok(F.when((c("lis_n") >= 10) & (c("spk_n") >= 10), c("lis_gaze") - c("spk_gaze"))))
+register("gaze_while_listening", "face", lambda: ok(F.when(c("lis_n") >= 10, c("lis_gaze"))))
+register("gaze_while_speaking", "face", lambda: ok(F.when(c("spk_n") >= 10, c("spk_gaze"))))
+register("gaze_speaker_listener_gap", "face", lambda: ok(F.when((c("lis_n") >= 10) & (c("spk_n") >= 10), c("lis_gaze") - c("spk_gaze"))))
 register("mutual_gaze_proportion", "face mutual_gaze", lambda: both_ok(F.when(c("n_both") >= 50, c("mutual"))))
 register("mutual_gaze_episode_rate", "face mutual_gaze", lambda: both_ok(per_minute(c("n_mutual"), c("duration_s"))))
 register("gaze_partner_time", "face", lambda: F.when(c("n_gaze") > 0, c("n_on") / c("frame_hz")))
@@ -551,8 +545,8 @@ register("posture_shift_rate", "body spans_posture_shift", lambda: body_ok(per_m
 register("self_touch_proportion", "body", lambda: body_ok(F.when(c("n_body") >= 50, c("touch"))))
 register("facial_valence_mean", "face", lambda: F.when(c("n_valence") >= 50, c("valence_mean")))
 register("facial_valence_variability", "face", lambda: F.when(c("n_valence") >= 50, c("valence_sd")))
-register("valence_while_listening", "face valence_listening", lambda: F.when((c("n_valence") >= 50) & (c("vlis_nv") >= 25), c("vlis_valence")))
-register("valence_while_speaking", "face valence_speaking", lambda: F.when((c("n_valence") >= 50) & (c("vspk_nv") >= 25), c("vspk_valence")))
+register("valence_while_listening", "face", lambda: F.when((c("n_valence") >= 50) & (c("vlis_nv") >= 25), c("vlis_valence")))
+register("valence_while_speaking", "face", lambda: F.when((c("n_valence") >= 50) & (c("vspk_nv") >= 25), c("vspk_valence")))
 register("positive_affect_proportion", "affect_share", lambda: c("pos_share"))
 register("negative_affect_proportion", "affect_share", lambda: c("neg_share"))
 
@@ -583,28 +577,41 @@ def shared_laughter(corpus: Corpus) -> DataFrame:
     return corpus.sessions.select("session_id").join(found, "session_id", "left").fillna(0, ["n_shared"])
 
 
-def _signals(corpus: Corpus, names: dict[str, tuple[str, ...]]) -> DataFrame:
-    made = corpus.frames.withColumn("valence_seen", F.when(c("tracked"), c("valence"))) if "valence" in corpus.frames.columns else corpus.frames
-    return synchrony.synchrony(made, corpus.sessions, names, corpus.settings.synchrony)
-
+#: Signals that are correlated between the two persons, in the directions that measures read.
+SYNCHRONY = {"smile": ("",), "head_pitch": ("",), "expressivity": ("",), "intensity_db": ("",), "wrist_speed": ("",), "valence_seen": ("", "a_leads", "b_leads")}
+SYNCHRONY_FIELDS = {
+    "smile_excess": ("smile", "excess"),
+    "smile_z": ("smile", "z"),
+    "smile_lag": ("smile", "lag_s"),
+    "head_excess": ("head_pitch", "excess"),
+    "expr_excess": ("expressivity", "excess"),
+    "loud_excess": ("intensity_db", "excess"),
+    "move_excess": ("wrist_speed", "excess"),
+    "val_excess": ("valence_seen", "excess"),
+    "val_z": ("valence_seen", "z"),
+}
 
-def _sync_facts(signals: dict[str, tuple[str, ...]], fields: dict[str, tuple[str, str, str]]):
-    def build(corpus: Corpus) -> DataFrame:
-        rows = _signals(corpus, signals)
-        return rows.groupBy("session_id").agg(*(F.max(F.when((c("signal") == s) & (c("restrict") == r), c(f))).alias(n) for n, (s, r, f) in fields.items()))
 
-    return build
+def _synchrony(corpus: Corpus) -> DataFrame:
+    """Synchrony of all signals there are: one grouped map over the frames, however many measures read it."""
+    if "synchrony" not in corpus.made:
+        frames = corpus.frames
+        if "valence" in frames.columns:
+            frames = frames.withColumn("valence_seen", F.when(c("tracked"), c("valence")))
+        signals = {k: v for k, v in SYNCHRONY.items() if k in frames.columns}
+        corpus.made["synchrony"] = corpus.hold(synchrony.synchrony(frames, corpus.sessions, signals, corpus.settings.synchrony))
+    return corpus.made["synchrony"]
 
 
-session_facts("sync_face")(_sync_facts({"smile": ("",), "head_pitch": ("",), "expressivity": ("",)}, {"smile_excess": ("smile", "", "excess"), "smile_z": ("smile", "", "z"), "smile_lag": ("smile", "", "lag_s"), "head_excess": ("head_pitch", "", "excess"), "expr_excess": ("expressivity", "", "excess")}))
-session_facts("sync_voice")(_sync_facts({"intensity_db": ("",)}, {"loud_excess": ("intensity_db", "", "excess")}))
-session_facts("sync_body")(_sync_facts({"wrist_speed": ("",)}, {"move_excess": ("wrist_speed", "", "excess")}))
-session_facts("sync_valence")(_sync_facts({"valence_seen": ("",)}, {"val_excess": ("valence_seen", "", "excess"), "val_z": ("valence_seen", "", "z")}))
+@session_facts("sync")
+def sync_facts(corpus: Corpus) -> DataFrame:
+    whole = c("restrict") == ""
+    return _synchrony(corpus).groupBy("session_id").agg(*(F.max(F.when((c("signal") == s) & whole, c(f))).alias(n) for n, (s, f) in SYNCHRONY_FIELDS.items()))
 
 
 @person_facts("reactivity")
 def reactivity(corpus: Corpus) -> DataFrame:
-    rows = _signals(corpus, {"valence_seen": ("a_leads", "b_leads")})
+    rows = _synchrony(corpus).filter(c("restrict") != "")
     return rows.select("session_id", F.when(c("restrict") == "a_leads", lit("B")).otherwise(lit("A")).alias("person"), c("excess").alias("react"))
 
 
@@ -642,8 +649,8 @@ def gaze_trend(corpus: Corpus) -> DataFrame:
 register("partner_smile_uptake", "smile_uptake", lambda: c("smile_follow"))
 register("partner_laughter_uptake", "laugh_uptake", lambda: c("laugh_follow"))
 register("valence_reactivity", "face partner_valence reactivity", lambda: F.when((c("n_valence") >= 50) & (c("partner_n_valence") >= 50), c("react")))
-register("valence_synchrony", "face sync_valence", lambda: F.when((a("n_valence") >= 50) & (b("n_valence") >= 50), c("val_excess")))
-register("valence_synchrony_z", "face sync_valence", lambda: F.when((a("n_valence") >= 50) & (b("n_valence") >= 50), c("val_z")))
+register("valence_synchrony", "face sync", lambda: F.when((a("n_valence") >= 50) & (b("n_valence") >= 50), c("val_excess")))
+register("valence_synchrony_z", "face sync", lambda: F.when((a("n_valence") >= 50) & (b("n_valence") >= 50), c("val_z")))
 
 
 @person_facts("partner_valence")
@@ -656,13 +663,13 @@ register("laughter_rate", "spans_laughter", lambda: per_minute(c("laugh_n"), c("
 register("laughter_proportion", "spans_laughter", lambda: F.when(c("duration_s") > 0, c("laugh_s") / c("duration_s")))
 register("shared_laughter_rate", "shared_laughter", lambda: per_minute(c("n_shared"), c("duration_s")))
 register("laughter_reciprocity", "spans_laughter", lambda: balance(a("laugh_n"), b("laugh_n")))
-register("smile_synchrony", "sync_face", lambda: c("smile_excess"))
-register("smile_synchrony_z", "sync_face", lambda: c("smile_z"))
-register("head_movement_synchrony", "sync_face", lambda: c("head_excess"))
-register("expressivity_synchrony", "sync_face", lambda: c("expr_excess"))
-register("loudness_synchrony", "sync_voice", lambda: c("loud_excess"))
-register("movement_synchrony", "sync_body", lambda: c("move_excess"))
-register("smile_synchrony_lag", "sync_face", lambda: c("smile_lag"))
+register("smile_synchrony", "sync", lambda: c("smile_excess"))
+register("smile_synchrony_z", "sync", lambda: c("smile_z"))
+register("head_movement_synchrony", "sync", lambda: c("head_excess"))
+register("expressivity_synchrony", "sync", lambda: c("expr_excess"))
+register("loudness_synchrony", "sync", lambda: c("loud_excess"))
+register("movement_synchrony", "sync", lambda: c("move_excess"))
+register("smile_synchrony_lag", "sync", lambda: c("smile_lag"))
 register("response_latency_trend", "turns", lambda: c("r_trend"))
 register("backchannel_rate_trend", "backchannels", lambda: c("bc_trend"))
 register("turn_duration_trend", "turns", lambda: c("d_trend"))

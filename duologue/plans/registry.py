@@ -87,7 +87,7 @@ def compute(corpus: Corpus, only: Iterable[str] | None = None) -> DataFrame:
 
     people, columns = gathered(["session_id", "person"], corpus.spine.join(base, "session_id"), [PERSON_FACTS[n](corpus) for n in names if n in PERSON_FACTS])
     dyads, _ = gathered(["session_id"], base, [SESSION_FACTS[n](corpus) for n in names if n in SESSION_FACTS])
-    people = people.persist()
+    people = corpus.hold(people)
     if any(m.spec.level == "dyad" for m in able) and columns:
         pair = people.groupBy("session_id").agg(*(F.max(F.when(F.col("person") == p, F.col(c))).alias(f"{p.lower()}_{c}") for p in "AB" for c in columns))
         dyads = dyads.join(pair, "session_id", "left")

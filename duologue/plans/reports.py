@@ -201,8 +201,13 @@ def check_family(name: Column) -> Column:
 
 def common_warnings(checks: DataFrame, top: int = 8, shown: int = 6) -> DataFrame:
     """The checks that fail in most sessions, fatal ones first: a top-k report."""
-    rows = checks.filter(~c("passed")).groupBy(check_family(c("name")).alias("check"), "severity").agg(F.sort_array(F.collect_set("session_id")).alias("ids"))
-    return rows.select("check", "severity", F.size("ids").alias("sessions"), F.array_join(F.slice("ids", 1, shown), ", ").alias("examples")).orderBy(F.when(c("severity") == "fatal", 0).otherwise(1), F.desc("sessions"), "check").limit(top)
+    failed = checks.filter(~c("passed")).select(check_family(c("name")).alias("check"), "severity", "session_id").distinct()
+    counted = failed.groupBy("check", "severity").agg(F.count("*").alias("sessions"))
+    # the smallest ids of each check, ranked before anything is gathered
+    few = failed.withColumn("k", F.row_number().over(Window.partitionBy("check", "severity").orderBy("session_id"))).filter(c("k") <= shown)
+    examples = few.groupBy("check", "severity").agg(F.array_join(F.sort_array(F.collect_list("session_id")), ", ").alias("examples"))
+    rows = counted.join(examples, ["check", "severity"])
+    return rows.select("check", "severity", "sessions", "examples").orderBy(F.when(c("severity") == "fatal", 0).otherwise(1), F.desc("sessions"), "check").limit(top)
 
 
 def histogram(rows: DataFrame, column: str, bins: int = 26, keys: tuple[str, ...] = ()) -> DataFrame:

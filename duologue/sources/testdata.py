@@ -102,9 +102,9 @@ def conversation_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
 def turn_embeddings(spark: SparkSession, sf_dir: str, turns: DataFrame) -> DataFrame:
     """Vectors for turns: those whose vec_id is (session number * 8 + turn index) modulo their number, at unit length."""
     e = read(spark, sf_dir, "embeddings").filter("embedding IS NOT NULL")
-    n = e.count()
+    n = F.broadcast(e.agg(F.greatest(F.count("*"), lit(1)).alias("n")))  # one row
     number = F.regexp_extract("session_id", "([0-9]+)", 1).cast("long")
-    keyed = turns.select("session_id", "turn_index", ((number * 8 + c("turn_index")) % max(1, n)).alias("vec_id"))
+    keyed = turns.crossJoin(n).select("session_id", "turn_index", ((number * 8 + c("turn_index")) % c("n")).alias("vec_id"))
     norm = F.sqrt(F.aggregate("embedding", lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     unit = e.select("vec_id", F.transform("embedding", lambda x: (x / norm).cast("float")).alias("v"))
     return keyed.join(unit, "vec_id").select("session_id", "turn_index", "v")
