@@ -94,6 +94,40 @@ class QualitySettings:
     min_sync: float = 0.5
 
 
+@dataclass(frozen=True)
+class SyncSettings:
+    max_offset_s: float = 30.0
+    probe_window_s: float = 20.0
+    n_probes: int = 9
+    min_agreement_s: float = 0.05
+    drift_check: bool = True
+    max_drift_ppm: float = 200.0
+    min_confidence: float = 0.5
+
+
+@dataclass(frozen=True)
+class AttributionSettings:
+    energy_weight: float = 1.0
+    visual_weight: float = 0.6
+    visual_weight_solo: float = 2.5
+    visual_activity_weight: float = 0.3
+    av_weight: float = 0.8
+    av_window_s: float = 1.0
+    voice_weight: float = 1.2
+    voice_min_accuracy: float = 0.68
+    voice_context_s: float = 0.5
+    identical_channel_db: float = 0.5
+    calibration_percentile: float = 90.0
+    ratio_scale_db: float = 6.0
+    both_penalty: float = 1.0
+    source_smooth_s: float = 0.15
+    source_smooth_percentile: float = 70.0
+    self_transition_logit: float = 6.0
+    min_state_s: float = 0.15
+    min_overlap_state_s: float = 0.20
+    lip_motion_band: tuple[float, float] = (1.5, 8.0)
+
+
 @dataclass(frozen=True)
 class Settings:
     frame_hz: float = 100.0
@@ -104,6 +138,12 @@ class Settings:
     prosody: ProsodySettings = field(default_factory=ProsodySettings)
     dynamics: DynamicsSettings = field(default_factory=DynamicsSettings)
     quality: QualitySettings = field(default_factory=QualitySettings)
+    sync: SyncSettings = field(default_factory=SyncSettings)
+    attribution: AttributionSettings = field(default_factory=AttributionSettings)
+
+    def dump(self) -> str:
+        """The JSON text that ``load`` reads."""
+        return json.dumps(self.to_dict(), indent=2, sort_keys=True)
 
     def to_dict(self) -> dict[str, Any]:
         return json.loads(json.dumps(dataclasses.asdict(self)))
