@@ -129,7 +129,7 @@ def learn_levels(energy: np.ndarray, state: np.ndarray, least: int = LEAST_FRAME
     return Levels(noise, near, far, spread, bool(enough[1] and enough[2] and ((near - far) > 3.0).all()))
 
 
-def unmixed(energy: np.ndarray, levels: Levels, uncertainty: float = 0.05) -> np.ndarray:
+def unmixed(energy: np.ndarray, levels: Levels, uncertainty: float = 0.15) -> np.ndarray:
     """(frames, 2): each voice's own level, with the other's leakage taken out; what cannot be told keeps a floor in proportion to the leakage."""
     noise, leak = power(levels.noise), levels.leak
     heard = np.maximum(power(energy) - noise, 0)

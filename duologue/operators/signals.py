@@ -256,12 +256,22 @@ def decode_speakers(emissions: DataFrame, hz: float, min_run_s: float = 0.15, mi
 # ---------------------------------------------------------------- pure column expressions
 
 
-def unmix(a_db: Column, b_db: Column, leak_a: float, leak_b: float, floor: float = 0.05) -> tuple[Column, Column]:
-    """Own levels of two microphones, with the share of each voice that reaches the other taken out, never below a part of what was heard."""
-    pa, pb = F.pow(F.lit(10.0), a_db / 10), F.pow(F.lit(10.0), b_db / 10)
-    det = 1 - leak_a * leak_b
-    clean = lambda own, other, leak: 10 * F.log10(F.greatest((own - leak * other) / det, own * floor))
-    return clean(pa, pb, leak_b), clean(pb, pa, leak_a)
+def unmix(a_db: Column, b_db: Column, leak_a: Column | float, leak_b: Column | float, noise_a: Column | float = -200.0, noise_b: Column | float = -200.0, uncertainty: float = 0.15) -> tuple[Column, Column]:
+    """Own levels of two microphones, with the share of each voice that reaches the other taken out.
+
+    leak_a: the share of A's power in B's microphone. What cannot be told keeps a floor in proportion to the
+    leakage and the noise; microphones too much alike are left as they were heard.
+    """
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(float(x))
+    leak_a, leak_b = as_column(leak_a), as_column(leak_b)
+    pa, pb, na, nb = (F.pow(F.lit(10.0), as_column(x) / 10) for x in (a_db, b_db, noise_a, noise_b))
+    own_a, own_b, det = F.greatest(pa - na, F.lit(0.0)), F.greatest(pb - nb, F.lit(0.0)), 1 - leak_a * leak_b
+
+    def clean(own: Column, other: Column, leak: Column, noise: Column) -> Column:
+        alone = F.when(det <= 0.05, own).otherwise(F.greatest((own - leak * other) / det, F.lit(0.0)))
+        return 10 * F.log10(F.greatest(alone + uncertainty * leak * other + 0.3 * noise, F.lit(1e-15)))
+
+    return clean(own_a, own_b, leak_b, na), clean(own_b, own_a, leak_a, nb)
 
 
 def level_model(frames: DataFrame, column: str, state: str = "speaker_state") -> DataFrame:
