@@ -227,21 +227,13 @@ def semantic_topics(spark, sf_dir):
     return topics.join(semantics.describe_topics(topics, usable), ["session_id", "topic"], "left")
 
 
-@query("semantic_callback_sensitivity")
-def semantic_callback_sensitivity(spark, sf_dir):
-    return semantics.callback_sensitivity(td.spoken_corpus(spark, sf_dir).usable_turns, SemanticSettings(min_similarity=0.0))
-
-
-_DOC = "(SELECT doc_id, text FROM documents WHERE lang = 'en')"
-
-
 @query(
     "text_lexical_documents",
-    f"""WITH d AS (SELECT doc_id, text, {oracle.TOKENS.format("text")} AS t FROM {_DOC})
+    f"""WITH d AS (SELECT doc_id, text, {oracle.TOKENS.format("text")} AS t FROM documents)
 SELECT doc_id, len(t) AS n_tokens, round({oracle.TTR}, 6) AS ttr, {oracle.n_in("t", oracle.lexicon.LSM_CATEGORIES["articles"])} AS articles, {oracle.n_phrases("t", oracle.lexicon.HEDGES)} AS hedges, {oracle.n_phrases("t", oracle.lexicon.GRATITUDE)} AS gratitude FROM d""",
 )
 def text_lexical_documents(spark, sf_dir):
-    d = td.read(spark, sf_dir, "documents").filter(c("lang") == "en").select("doc_id", tx.tokens(c("text")).alias("t"))
+    d = td.read(spark, sf_dir, "documents").select("doc_id", tx.tokens(c("text")).alias("t"))
     lex = oracle.lexicon
     return six(d.select("doc_id", F.size("t").alias("n_tokens"), tx.type_token_ratio(c("t")).alias("ttr"), tx.count_in(c("t"), lex.LSM_CATEGORIES["articles"]).alias("articles"), tx.count_phrases(c("t"), lex.HEDGES).alias("hedges"), tx.count_phrases(c("t"), lex.GRATITUDE).alias("gratitude")), "ttr")
 
@@ -261,11 +253,6 @@ def text_document_frequency(spark, sf_dir):
     return t.groupBy("conv_id", "term").agg(F.count("*").alias("df"))
 
 
-@query("lexicon")
-def lexicon_table(spark, sf_dir):
-    return oracle.lexicon.lexicon(spark)
-
-
 @query(
     "resample_to_grid",
     """WITH s AS (SELECT user_id, CAST(epoch_us(ts) % 3600000000 AS DOUBLE) / 1000000 AS t, value FROM events),
@@ -281,16 +268,6 @@ def resample_to_grid(spark, sf_dir):
     return six(grid.resample(s, g, 60.0, keys=["user_id"]).select("user_id", "i", "value"), "value")
 
 
-@query("events_table")
-def events_table(spark, sf_dir):
-    return reports.events_table(td.event_corpus(spark, sf_dir, frames=False))
-
-
-@query("timeline_table")
-def timeline_table(spark, sf_dir):
-    return reports.timeline_table(td.event_corpus(spark, sf_dir))
-
-
 _SHORT = ["turn_count", "turn_rate", "talk_time_share", "speaking_time", "median_turn_duration", "mean_turn_duration"]
 
 
@@ -344,11 +321,6 @@ def corpus_common_warnings(spark, sf_dir):
     return reports.common_warnings(reports.quality_checks(td.event_corpus(spark, sf_dir, frames=False))).select("check", "severity", "sessions")
 
 
-@query("codebook")
-def codebook(spark, sf_dir):
-    return reports.codebook(spark)
-
-
 @query("player_data")
 def player_data(spark, sf_dir):
     return reports.player_data(td.event_corpus(spark, sf_dir, frames=False))
