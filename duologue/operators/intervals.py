@@ -138,3 +138,9 @@ def overlap_with(units: DataFrame, spans: DataFrame, lo: Column, hi: Column, nam
     s = spans.select(*keys, F.col("start_s").alias("__a"), F.col("end_s").alias("__b"))
     inside = F.least("__hi", "__b") - F.greatest("__lo", "__a")
     return u.join(s, list(keys)).filter((F.col("__a") < F.col("__hi")) & (F.col("__b") > F.col("__lo"))).groupBy(unit).agg(F.sum(inside).alias(name))
+
+
+def frame_labels(spans: DataFrame, label: str, hz: Column | float, keys: Sequence[str] = PERSON_KEYS) -> DataFrame:
+    """(keys, i, labels): the labels of all spans that each frame lies in, sorted; frames in none have no row."""
+    inside = to_frames(spans, hz, [*keys, label])
+    return inside.groupBy(*keys, "i").agg(F.sort_array(F.collect_set(label)).alias("labels"))

@@ -103,10 +103,11 @@ def state_runs(state: DataFrame) -> DataFrame:
     return runs.groupBy("session_id", "run", "speaker_state").agg(F.count("*").alias("n"))
 
 
-def quality_checks(corpus: Corpus, sync: DataFrame | None = None, audio: DataFrame | None = None) -> DataFrame:
+def quality_checks(corpus: Corpus, sync: DataFrame | None = None, audio: DataFrame | None = None, video: DataFrame | None = None) -> DataFrame:
     """(session_id, name, passed, value, threshold, severity, message) of every check whose input there is.
 
-    sync: (session_id, confidence). audio: (session_id, role, snr_db).
+    sync: (session_id, confidence). audio: (session_id, role, snr_db). video: (session_id, role,
+    freeze_rate, motion, height); what was not measured is null or not a number and is not checked.
     """
     q = corpus.settings.quality
     s = corpus.sessions.select("session_id", "duration_s", "frame_hz", "overlap_identifiable")
@@ -144,6 +145,15 @@ def quality_checks(corpus: Corpus, sync: DataFrame | None = None, audio: DataFra
         add(corpus.frames.groupBy("session_id", "person").agg(F.avg(c("tracked").cast("double")).alias("cover")), F.concat(lit("face_coverage_"), c("person")), c("cover"), q.min_coverage, True, "warning", "the face is seen often enough")
     if audio is not None:
         add(audio, F.concat(lit("audio_snr_"), c("role")), c("snr_db"), q.min_snr_db, True, "warning", "speech stands out from noise")
+    if video is not None:
+        for name, column, limit, at_least, message in (
+            ("video_continuity_", "freeze_rate", q.max_freeze_rate, False, "the picture does not freeze"),
+            ("video_motion_", "motion", q.min_motion, True, "the picture moves"),
+            ("video_resolution_", "height", q.min_video_height, True, "the picture is large enough"),
+        ):
+            value = F.nanvl(c(column).cast("double"), lit(None))
+            known = value.isNotNull() & (value > 0) if column == "height" else value.isNotNull()
+            add(video, F.concat(lit(name), c("role")), value, limit, at_least, "warning", message, known)
     return reduce(DataFrame.unionByName, made)
 
 
@@ -227,12 +237,46 @@ def review_jumps(turns: DataFrame, callbacks: DataFrame | None = None) -> DataFr
     return found.join(callbacks.groupBy("session_id").agg(early(F.min("start_s")).alias("first_callback")), "session_id", "left")
 
 
-def player_data(corpus: Corpus, hz: float = 20.0, most: int = 4000) -> DataFrame:
-    """(session_id, payload): JSON for a viewer: spans by kind, two decimals, and turns with 160 characters of text."""
+def state_samples(state: DataFrame, frame_hz: float, hz: float = 20.0) -> DataFrame:
+    """(session_id, state): every so many frames' speaker state, in order, at about ``hz``."""
+    step = max(1, round(frame_hz / hz))
+    kept = state.filter(c("i") % step == 0).groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("i", "speaker_state"))).alias("s"))
+    return kept.select("session_id", F.transform("s", lambda x: x["speaker_state"].cast("int")).alias("state"))
+
+
+def ribbon(state: DataFrame, sessions: DataFrame, frame_hz: float, bins: int = 600) -> DataFrame:
+    """(session_id, bin, speaker_state, share): the commonest state in each of equally long parts of a session, the lower one in ties."""
+    part = F.least(lit(bins - 1), F.floor(c("i") / frame_hz / c("duration_s") * bins)).cast("int").alias("bin")
+    counts = state.join(sessions.select("session_id", "duration_s"), "session_id").groupBy("session_id", part, "speaker_state").agg(F.count("*").alias("n"))
+    best = counts.groupBy("session_id", "bin").agg(F.max(F.struct("n", (-c("speaker_state")).alias("s"))).alias("x"), F.sum("n").alias("all"))
+    return best.select("session_id", "bin", (-c("x.s")).cast("int").alias("speaker_state"), (c("x.n") / c("all")).alias("share"))
+
+
+def player_data(corpus: Corpus, hz: float = 20.0, most: int = 4000, offsets: DataFrame | None = None) -> DataFrame:
+    """(session_id, payload): JSON for a viewer: duration, spans by kind and speech, two decimals, turns with 160 characters of text, and where there are, sampled states, callbacks and sources.
+
+    offsets: (session_id, role, offset_s), the views' places on the session clock.
+    """
     two = lambda x: F.round(x, 2)
     turns = corpus.turn_set.turns.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("turn_index", "person", two(c("start_s")).alias("start"), two(c("end_s")).alias("end"), F.substring("text", 1, 160).alias("text")))).alias("turns"))
-    if corpus.spans is None:
-        return turns.select("session_id", F.to_json(F.struct("turns")).alias("payload"))
-    first = corpus.spans.withColumn("k", F.row_number().over(Window.partitionBy("session_id", "kind").orderBy("start_s", "person"))).filter(c("k") <= most)
+    shown = corpus.turn_set.speech.select("session_id", lit("speech").alias("kind"), "person", "start_s", "end_s")
+    if corpus.spans is not None:
+        shown = shown.unionByName(corpus.spans.select("session_id", "kind", "person", "start_s", "end_s"))
+    if corpus.frames is not None and {"on_partner", "tracked"} <= set(corpus.frames.columns):
+        looks = corpus.frames.withColumn("m", c("on_partner") & c("tracked")).filter("m").join(corpus.sessions.select("session_id", "frame_hz"), "session_id")
+        shown = shown.unionByName(iv.from_mask(looks, "m", c("frame_hz")).select("session_id", lit("gaze").alias("kind"), "person", "start_s", "end_s"))
+    # a viewer shows so many spans of a kind and person; the tables hold all
+    first = shown.withColumn("k", F.row_number().over(Window.partitionBy("session_id", "kind", "person").orderBy("start_s"))).filter(c("k") <= most)
     spans = first.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("kind", "person", two(c("start_s")).alias("start"), two(c("end_s")).alias("end")))).alias("spans"))
-    return turns.join(spans, "session_id", "left").select("session_id", F.replace(F.to_json(F.struct("turns", "spans")), lit("</"), lit("<\\/")).alias("payload"))
+    rows, fields = corpus.sessions.select("session_id", "frame_hz", two(c("duration_s")).alias("duration")).join(turns, "session_id", "left").join(spans, "session_id", "left"), ["duration", "turns", "spans"]
+    if corpus.state is not None:
+        rate = corpus.settings.frame_hz
+        rows, fields = rows.join(state_samples(corpus.state, rate, hz), "session_id", "left"), [*fields, "state"]
+    if corpus.embeddings is not None:
+        calls = semantics.find_callbacks(corpus.usable_turns, corpus.settings.semantic).groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct(two(c("start_s")).alias("start"), "person", "lag", F.array_join(F.slice("anchors", 1, 3), ", ").alias("anchors")))).alias("callbacks"))
+        rows, fields = rows.join(calls, "session_id", "left"), [*fields, "callbacks"]
+    if offsets is not None:
+        # seconds from session time to the file's own clock
+        sources = offsets.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("role", F.round(-c("offset_s"), 3).alias("offset")))).alias("sources"))
+        rows, fields = rows.join(sources, "session_id", "left"), [*fields, "sources"]
+    return rows.select("session_id", F.replace(F.to_json(F.struct(*fields)), lit("</"), lit("<\\/")).alias("payload"))

@@ -92,6 +92,9 @@ class QualitySettings:
     min_asr: float = 0.45
     min_coverage: float = 0.60
     min_sync: float = 0.5
+    max_freeze_rate: float = 0.20
+    min_motion: float = 0.005
+    min_video_height: int = 480
 
 
 @dataclass(frozen=True)

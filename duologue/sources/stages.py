@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def key_of(parameters: Any) -> str:
@@ -15,6 +17,25 @@ def key_of(parameters: Any) -> str:
     return hashlib.blake2b(json.dumps(parameters, sort_keys=True, default=str).encode(), digest_size=16).hexdigest()[:12]
 
 
+def fingerprint_file(path: str, sample_bytes: int = 1 << 20) -> str:
+    """A digest of a media file's name, size, time of change and of its first and last bytes: what a re-encoded, cut or exchanged file changes, without reading all of it."""
+    facts = os.stat(path)
+    digest = hashlib.blake2b(json.dumps([os.path.basename(path), facts.st_size, int(facts.st_mtime)]).encode(), digest_size=16)
+    with open(path, "rb") as file:
+        digest.update(file.read(sample_bytes))
+        if facts.st_size > sample_bytes:
+            file.seek(-sample_bytes, os.SEEK_END)
+            digest.update(file.read(sample_bytes))
+    return digest.hexdigest()
+
+
+def fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """(path, fingerprint) of all files under a path of the cluster's file system, by name, size and time of change; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select("path", F.substring(F.sha2(F.concat_ws("|", name, "length", F.unix_micros("modificationTime")), 256), 1, 32).alias("fingerprint"))
+
+
 class Workspace:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -38,6 +59,17 @@ class Workspace:
                     fs.delete(other.getPath(), True)
         return self.spark.read.parquet(path)
 
+    def write_manifest(self, payload: dict[str, Any]) -> str:
+        """Writes the run's record as JSON beside the stages and returns its path."""
+        path = f"{self.root}/manifest.json"
+        fs, at = self._fs(path)
+        out = fs.create(at, True)
+        try:
+            out.write(bytearray(json.dumps(payload, indent=2, default=str).encode()))
+        finally:
+            out.close()
+        return path
+
     def clear(self) -> None:
         fs, at = self._fs(f"{self.root}/stage")
         fs.delete(at, True)

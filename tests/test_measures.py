@@ -110,3 +110,27 @@ def test_quality_and_rollups(spark):
     assert "turn_count_minimum" in {r["check"] for r in reports.common_warnings(checks).collect()}
     assert reports.codebook(spark).count() == 132 and reports.codebook_markdown().count("- `") == 132
     assert math.isclose(reports.overview(reports.verdicts(checks), corpus.sessions).first()["minutes"], 80 / 60)
+
+
+def test_video_checks_states_and_player(spark):
+    import json
+
+    from duologue.operators import intervals as iv
+
+    said = spans(spark, (0, 5), (10, 12))
+    session = spark.createDataFrame([("s", 20.0, 40.0, True)], "session_id string, duration_s double, frame_hz double, overlap_identifiable boolean").withColumn("meta", F.create_map().cast("map<string,string>"))
+    state = spark.createDataFrame([("s", i, 1 if i < 200 else 2 if i < 500 else 0) for i in range(800)], "session_id string, i int, speaker_state int").withColumn("confidence", F.lit(0.9))
+    from duologue.settings import load
+
+    corpus = Corpus(session, said, state=state, settings=load(frame_hz=40.0))
+    video = spark.createDataFrame([("s", "close_a", 0.5, 0.1, 720), ("s", "close_b", float("nan"), 0.001, 0)], "session_id string, role string, freeze_rate double, motion double, height int")
+    got = {r["name"]: r["passed"] for r in reports.quality_checks(corpus, video=video).filter("name LIKE 'video%'").collect()}
+    assert got == {"video_continuity_close_a": False, "video_motion_close_a": True, "video_resolution_close_a": True, "video_motion_close_b": False}
+    payload = json.loads(reports.player_data(corpus, offsets=spark.createDataFrame([("s", "wide", 1.5)], "session_id string, role string, offset_s double")).first()["payload"])
+    assert len(payload["state"]) == 400 and payload["state"][:100] == [1] * 100 and payload["duration"] == 20.0 and payload["sources"] == [{"role": "wide", "offset": -1.5}]
+    assert [x["start"] for x in payload["spans"] if x["kind"] == "speech"] == [0.0, 10.0]
+    bars = {r["bin"]: r["speaker_state"] for r in reports.ribbon(state, session, 40.0, 8).collect()}
+    assert bars == {0: 1, 1: 1, 2: 2, 3: 2, 4: 2, 5: 0, 6: 0, 7: 0}
+    labelled = said.withColumn("kind", F.lit("x")).unionByName(spans(spark, (4, 6)).withColumn("kind", F.lit("y")))
+    labels = {r["i"]: r["labels"] for r in iv.frame_labels(labelled, "kind", 1.0).collect()}
+    assert labels == {0: ["x"], 1: ["x"], 2: ["x"], 3: ["x"], 4: ["x", "y"], 5: ["y"], 10: ["x"], 11: ["x"]}

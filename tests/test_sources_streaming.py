@@ -82,3 +82,26 @@ def test_streaming_units(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["start"].second, r["end"].second) for r in rows(spark.table("unit_out"), "start")][:2] == [(0, 2), (5, 6)]
+
+
+def test_fingerprints_and_manifests(spark, tmp_path):
+    import json
+    import os
+
+    from duologue.sources import stages
+
+    one = tmp_path / "media" / "a.mp4"
+    one.parent.mkdir()
+    one.write_bytes(b"x" * 3_000_000)
+    os.utime(one, (1_000_000, 1_000_000))
+    before, listed = stages.fingerprint_file(str(one)), stages.fingerprints(spark, str(one.parent)).first()["fingerprint"]
+    assert before == stages.fingerprint_file(str(one)) and len(before) == 32 and len(listed) == 32
+    one.write_bytes(b"x" * 2_999_999 + b"y")  # the last byte
+    os.utime(one, (1_000_000, 1_000_000))
+    assert stages.fingerprint_file(str(one)) != before
+    one.write_bytes(b"x" * 2_000_000)
+    os.utime(one, (1_000_000, 1_000_000))
+    assert stages.fingerprints(spark, str(one.parent)).first()["fingerprint"] != listed
+    work = stages.Workspace(spark, f"file://{tmp_path}/work")
+    path = work.write_manifest({"settings": {"a": 1}, "n": 2})
+    assert json.loads(open(path.removeprefix("file://")).read()) == {"settings": {"a": 1}, "n": 2}
