@@ -164,13 +164,15 @@ def links(fps: DataFrame, radius: int = RADIUS, hot: int = HOT, scratch: Scratch
     if crowded.isEmpty():
         return _dealt(keyed, radius)
     found = _dealt(keyed.join(crowded, ["m", "k"], "left_anti"), radius)
-    rest = keyed.join(crowded, ["m", "k"], "left_semi")
-    for i, mask in enumerate(masks):
+    # each crowded key is dealt out again under the finer masks of its own mask, all in one pass
+    finer = []
+    for mask in masks:
         blocks = _blocks([b for b in range(64) if not mask >> b & 1], 2 * radius + 1)
-        finer = [mask | sum(c) for c in combinations(blocks, radius + 1)]
-        some = _keyed(rest.filter(F.col("m") == i).select("fp", "rep"), finer)
-        found = found.unionByName(_dealt(some, radius))
-    return found
+        finer.append([mask | sum(c) for c in combinations(blocks, radius + 1)])
+    table = F.array(*(F.array(*(F.lit(_signed(x)) for x in row)) for row in finer))
+    rest = keyed.join(crowded, ["m", "k"], "left_semi").select("m", "fp", "rep", F.posexplode(F.element_at(table, F.col("m") + 1)).alias("n", "mask"))
+    again = rest.select((F.col("m") * len(finer[0]) + F.col("n")).alias("m"), F.col("fp").bitwiseAND(F.col("mask")).alias("k"), "fp", "rep")
+    return found.unionByName(_dealt(again, radius))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
