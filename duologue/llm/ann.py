@@ -128,9 +128,10 @@ def probes_for(forest: Forest, queries: np.ndarray, found: list[list[np.ndarray]
     return max(1, visits)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array, dtype: str) -> np.ndarray:
+    """Vectors as they were given, single or double, in double precision."""
     data = b"".join(x for x in column.to_pylist())
-    return np.frombuffer(data, np.float64).reshape(len(column), -1)
+    return np.frombuffer(data, dtype).reshape(len(column), -1).astype(np.float64, copy=False)
 
 
 def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -148,12 +149,12 @@ PILOT, PILOT_ARROW = out("pilot int, cid long, score double, leaves binary")
 
 def _pilot(shared, k: int):
     def run(batches):
-        forest, queries = shared.value
+        forest, queries, dtype = shared.value
         held = [(np.zeros(0), np.zeros(0, np.int64), np.zeros((0, forest.trees), np.int64))] * len(queries)
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, x = b.column(0).to_numpy(), _matrix(b.column(1))
+            ids, x = b.column(0).to_numpy(), _matrix(b.column(1), dtype)
             scores, leaves = x @ queries.T, forest.place(x)
             for i in range(len(queries)):
                 s, c, r = (np.concatenate([a, z]) for a, z in zip(held[i], (scores[:, i], ids, leaves)))
@@ -172,7 +173,7 @@ def _count(shared):
     def run(batches):
         for b in batches:
             if b.num_rows:
-                leaf, n = np.unique(shared.value[0].place(_matrix(b.column(1))), return_counts=True)
+                leaf, n = np.unique(shared.value[0].place(_matrix(b.column(1), shared.value[2])), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(n)], schema=COUNTED_ARROW)
 
     return run
@@ -185,7 +186,7 @@ def _index(shared):
     def run(batches):
         for b in batches:
             if b.num_rows:
-                leaves = shared.value[0].place(_matrix(b.column(1)))
+                leaves = shared.value[0].place(_matrix(b.column(1), shared.value[2]))
                 for t in range(leaves.shape[1]):
                     yield pa.RecordBatch.from_arrays([pa.array(leaves[:, t]), pa.array(np.zeros(b.num_rows, np.int32)), b.column(0), b.column(1)], schema=ENTRIES_ARROW)
 
@@ -197,7 +198,7 @@ def _probe(shared, probes: int):
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 some = b.slice(at, 64)
-                orders = [list(islice(walk, probes)) for walk in shared.value[0].visits(_matrix(some.column(1)))]
+                orders = [list(islice(walk, probes)) for walk in shared.value[0].visits(_matrix(some.column(1), shared.value[2]))]
                 take = pa.array(np.repeat(np.arange(len(orders)), [len(o) for o in orders]))
                 leaf = pa.array([x for o in orders for x in o], pa.int64())
                 yield pa.RecordBatch.from_arrays([leaf, pa.array(np.ones(len(leaf), np.int32)), some.column(0).take(take), some.column(1).take(take)], schema=ENTRIES_ARROW)
@@ -208,7 +209,7 @@ def _probe(shared, probes: int):
 FOUND, FOUND_ARROW = out("query long, cids binary, scores binary")
 
 
-def _rank(k: int):
+def _rank(k: int, dtype: str):
     def run(batches):
         for table in groups(batches, "spot"):
             table = table.combine_chunks()
@@ -218,10 +219,10 @@ def _rank(k: int):
                 own, asks = np.flatnonzero((leaf == g) & (kind == 0)), np.flatnonzero((leaf == g) & (kind == 1))
                 if not len(own) or not len(asks):
                     continue
-                members = _matrix(vectors.take(pa.array(own)))
+                members = _matrix(vectors.take(pa.array(own)), dtype)
                 for at in range(0, len(asks), 512):
                     some = asks[at : at + 512]
-                    scores = _matrix(vectors.take(pa.array(some))) @ members.T
+                    scores = _matrix(vectors.take(pa.array(some)), dtype) @ members.T
                     best = [own[:0]] * len(some)
                     best = [_top(s, cid[own], k) for s in scores]
                     yield pa.RecordBatch.from_arrays([pa.array(cid[some]), pa.array([cid[own][i].tobytes() for i in best], pa.binary()), pa.array([s[i].tobytes() for s, i in zip(scores, best)], pa.binary())], schema=FOUND_ARROW)
@@ -254,25 +255,30 @@ def _merge(k: int):
 VECTORS, VECTORS_ARROW = out("id long, vec binary")
 
 
-def _pack(dim: int):
+def _pack(dim: int, dtype: str):
     def run(batches):
         for b in batches:
             if b.num_rows:
                 x = np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, dim)
                 x = x + 0.0  # one zero, so that equal vectors have equal bytes
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], schema=VECTORS_ARROW)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x.astype(dtype)], pa.binary())], schema=VECTORS_ARROW)
 
     return run
 
 
+def precision(table: DataFrame, vec_col: str) -> str:
+    """How vectors travel: in single precision where they are given so, which loses nothing."""
+    return "<f4" if table.schema[vec_col].dataType.simpleString() == "array<float>" else "<f8"
+
+
 def vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame | None:
-    """(id, vec) of the rows that take part; vec holds the components as doubles."""
+    """(id, vec) of the rows that take part; vec holds the components' bytes."""
     v = F.col("v")
     some = table.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     some = some.filter(F.coalesce(sound, F.lit(False)))
     lengths = some.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").head(1)
-    return some.filter(F.size("v") == lengths[0]["n"]).mapInArrow(_pack(lengths[0]["n"]), VECTORS) if lengths else None
+    return some.filter(F.size("v") == lengths[0]["n"]).mapInArrow(_pack(lengths[0]["n"], precision(table, vec_col)), VECTORS) if lengths else None
 
 
 def nearest(table: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, trees: int = TREES, leaf: int = LEAF, recall: float = RECALL) -> DataFrame:
@@ -289,10 +295,11 @@ def nearest(table: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "
     classes = scratch.keep(least.groupBy("vec").agg(F.min("id").alias("cid"), F.array_sort(F.collect_list("id")).alias("ids")), "classes")
     n = classes.count()
     sample = classes.select("cid", "vec").orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).collect()
-    x = np.stack([np.frombuffer(r["vec"]) for r in sample])
+    dtype = precision(table, vec_col)
+    x = np.stack([np.frombuffer(r["vec"], dtype) for r in sample]).astype(np.float64)
     forest = Forest(x, n, trees, leaf)
     queries = x[:PILOTS]
-    shared = spark.sparkContext.broadcast((forest, queries))
+    shared = spark.sparkContext.broadcast((forest, queries, dtype))
     slim = classes.select("cid", "vec")
     pilot = slim.mapInArrow(_pilot(shared, k + 1), PILOT)
     best = pilot.withColumn("n", F.row_number().over(Window.partitionBy("pilot").orderBy(F.desc("score"), "cid"))).filter(F.col("n") <= k + 1)
@@ -314,7 +321,7 @@ def nearest(table: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "
         part = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
         visits = visits.select("leaf", "kind", "cid", "vec", part).select(F.xxhash64("leaf", "part").alias("spot"), "kind", "cid", "vec")
         met = members.unionByName(visits) if turn == 0 else members.join(visits.select("spot").distinct(), "spot", "left_semi").unionByName(visits)
-        ranked = met.repartition("spot").sortWithinPartitions("spot").mapInArrow(_rank(k + 1), FOUND)
+        ranked = met.repartition("spot").sortWithinPartitions("spot").mapInArrow(_rank(k + 1, dtype), FOUND)
         merged = ranked.repartition("query").sortWithinPartitions("query").mapInArrow(_merge(k + 1), MERGED)
         each = merged.join(classes.select("cid", "ids"), "cid").select("query", F.explode("ids").alias("id"), "score")
         lists = each.groupBy("query").agg(F.array_sort(F.collect_list(F.struct(F.negative("score").alias("far"), "id"))).alias("found"))
