@@ -164,3 +164,15 @@ def test_a_hot_url_is_split_and_still_right(spark):
         assert got == {i: (i // 37 * 37 or None) for i in range(1, 3000) if i % 37}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_revisits_with_clashing_columns_and_very_long_urls(spark):
+    from pyspark.sql import functions as F
+
+    long_ = "http://a.com/" + "p/" * 20_000
+    headers = {f"x-{k}": "v" * 50 for k in range(400)}
+    r = records(spark, (1, long_, 1, "response", '"e"', None, None, headers), (2, long_, 2, "revisit", '"e"', None, None, {"ETag": '"e"'}), (None, long_, 3, "revisit", '"e"', None, None, None))
+    clash = r.select("*", F.lit("c").alias("canonical_url"), F.lit(9).alias("base_id"), F.lit("c").alias("status"), F.lit("c").alias("part"))
+    got = {x["record_id"]: x for x in warc.resolve_revisits(clash).collect()}
+    assert got[2]["base_id"] == 1 and got[2]["status"] == "resolved" and len(got[2]["headers"]) == 401 and got[2]["canonical_url"].startswith("a.com/p/p/")
+    assert got[None]["status"] == "missing"

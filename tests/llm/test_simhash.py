@@ -132,3 +132,17 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(70)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(71)}, 100: 100, 101: 100}
+
+
+def test_texts_of_more_shingles_than_are_in_memory_at_once(monkeypatch):
+    text = " ".join(f"w{k % 977}" for k in range(5000)).encode()
+    whole = simhash.fingerprint(text)
+    monkeypatch.setattr(simhash, "CHUNK", 64)
+    assert simhash.fingerprint(text) == whole
+
+
+def test_near_duplicates_of_odd_rows(odd):
+    """Null ids, empty texts, repeated rows and columns named like those inside: one group an id."""
+    got = {r["id"]: r["group"] for r in neardup.near_duplicates(odd).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 2, 5: 5, 6: 6}
+    assert neardup.near_duplicates(odd.limit(0)).count() == 0
