@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -128,6 +129,67 @@ def test_families_joined_by_one_pair_of_different_blocks(docs_of):
     assert got == dict.fromkeys(range(2 * n + 2), 0)
 
 
+def test_similar_sets_share_a_simhash_key():
+    """Pairs of sets at 0.8: at most 0.4 % of them, as with the bands before, share no key or differ in more bits than may travel."""
+    rng, missed = np.random.default_rng(5), 0
+    for n in (5, 18, 90, 450):
+        for _ in range(500):
+            union, same = np.unique(rng.integers(1, 1 << 63, n, dtype=np.uint64)), round(0.8 * n)
+            some = rng.permutation(union)
+            half = same + (n - same) // 2
+            (wide, keys), (other, others) = (neardup.simhash_keys(np.sort(x)) for x in (some[:half], np.r_[some[:same], some[half:]]))
+            missed += not ((keys == others).any() and np.bitwise_count(wide ^ other).sum() <= neardup.MEET_RADIUS)
+    assert missed <= 8
+
+
+def test_keys_are_decided_bits_of_the_simhash():
+    s = np.random.default_rng(6).integers(0, 1 << 63, 600, dtype=np.uint64)
+    s.sort()
+    ones = np.zeros((8, len(neardup.FACTORS) * 8), int)
+    for h in s.tolist():
+        words = neardup._mixed(np.array([h], np.uint64), neardup.FACTORS).view(np.uint8)[0]
+        ones += words >> np.arange(8)[:, None] & 1
+    clear = (2 * ones.ravel() - len(s)).reshape(neardup.BLOCKS, neardup.PLACES)
+    wide, keys = neardup.simhash_keys(s)
+    assert len(set(keys.tolist())) == neardup.BLOCKS
+    for t, key in enumerate(keys.tolist()):
+        for block, code in ((t, key // 256 % 256), ((t + 1) % neardup.BLOCKS, key % 256)):
+            assert abs(clear[block, code // 2]) == abs(clear[block]).max() and (clear[block, code // 2] > 0) == code % 2
+    bits = np.unpackbits(wide.view(np.uint8), bitorder="little")
+    flat = clear.ravel()[: 64 * neardup.WORDS]
+    assert (bits[flat != 0] == (flat[flat != 0] > 0)).all()
+
+
+@pytest.mark.parametrize("hot", [2048, 5])
+def test_rows_of_a_key_meet_within_the_radius(hot):
+    """Edges among sorted rows, in batches of any cut, connect what brute force connects; a crowded key is one cluster."""
+    rng = np.random.default_rng(8)
+    bases = rng.integers(0, 1 << 63, (12, neardup.WORDS), dtype=np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 63, (60, 6)).astype(np.uint64)
+    wide = bases[rng.integers(0, 12, 60)]
+    for k in range(6):
+        wide[:, k % neardup.WORDS] ^= flips[:, k]
+    key = np.sort(rng.integers(0, 9, 60))
+    rows = np.c_[key, np.arange(60), wide.view(np.int64)]
+    near = lambda a, b: int(np.bitwise_count(wide[a] ^ wide[b]).sum()) <= 12
+    crowd = np.bincount(key, minlength=9) > hot
+    expected = brute_components(range(60), lambda a, b: key[a] == key[b] and (crowd[key[a]] or near(a, b)))
+    assert 9 < len(set(expected.values())) < 60 or hot == 5 and crowd.any()
+    names = ["key", "rep", *(f"w{w}" for w in range(neardup.WORDS))]
+    for cut in (1, 7, 60):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in rows[at : at + cut].T], names=names) for at in range(0, 60, cut)]
+        edges = {(a, b) for out in neardup._meet(12, hot)(batches) for a, b in zip(*(c.to_pylist() for c in out.columns))}
+        assert brute_components(range(60), lambda a, b: (a, b) in edges or (b, a) in edges) == expected
+
+
+def test_a_crowded_key_loses_no_group(docs_of):
+    words = [f"w{k}" for k in range(90)]
+    texts = [" ".join(f"v{at}" if k == at else w for k, w in enumerate(words)) for at in range(5, 85, 4)] + ["quite another text of eight words here now"]
+    for hot in (2048, 4):
+        got = {r["id"]: r["group"] for r in neardup.near_duplicates(docs_of(*texts), hot=hot).collect()}
+        assert got == {**dict.fromkeys(range(len(texts) - 1), 0), len(texts) - 1: len(texts) - 1}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(70)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
