@@ -124,12 +124,17 @@ def from_mask(frames: DataFrame, mask: str, hz: Column | float, keys: Sequence[s
 
 
 def to_frames(spans: DataFrame, hz: Column | float, keys: Sequence[str] = PERSON_KEYS, outer: bool = False) -> DataFrame:
-    """(keys, i) of frames inside spans. The left edge i/hz decides; ``outer`` uses floor(start) to ceil(end) instead."""
+    """(keys, i) of frames inside spans. The left edge i/hz decides; ``outer`` uses floor(start) to ceil(end) instead.
+
+    Each span gives the frames beyond those of the spans before it, so no frame comes twice and none is compared.
+    """
     hz = hz if isinstance(hz, Column) else F.lit(float(hz))
     first = F.floor(F.col("start_s") * hz) if outer else F.ceil(F.col("start_s") * hz)
     last = F.ceil(F.col("end_s") * hz) - 1
     some = spans.select(*keys, F.greatest(first, F.lit(0)).alias("a"), last.alias("b")).filter("b >= a")
-    return some.select(*keys, F.explode(F.sequence(F.col("a").cast("int"), F.col("b").cast("int"))).alias("i")).distinct()
+    before = F.max("b").over(Window.partitionBy(*keys).orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
+    new = some.withColumn("a", F.greatest("a", before + 1)).filter("b >= a")
+    return new.select(*keys, F.explode(F.sequence(F.col("a").cast("int"), F.col("b").cast("int"))).alias("i"))
 
 
 def overlap_with(units: DataFrame, spans: DataFrame, lo: Column, hi: Column, name: str, keys: Sequence[str], unit: str = "unit") -> DataFrame:
