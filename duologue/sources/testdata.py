@@ -21,9 +21,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _noise(a: int, b: int, d: int, m: int) -> Column:
+#: Bytes of the events file whose sessions make one task's frames.
+FRAME_BYTES = 1 << 18
+
+
+def _noise(a: int, b: int, d: int, m: int, person: Column | None = None) -> Column:
     """A whole number in [0, m) from frame, session and person."""
-    return (c("i") * a + c("num") * b + F.when(c("person") == "A", lit(0)).otherwise(lit(d))) % m
+    person = c("person") if person is None else person
+    return (c("i") * a + c("num") * b + F.when(person == "A", lit(0)).otherwise(lit(d))) % m
 
 
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,9 +40,41 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(num.alias("num"), F.format_string("s%05d", num).alias("session_id"), person.alias("person"), "event_id", "event_type", (start / 1000.0).alias("start_s"), (end / 1000.0).alias("end_s"))
 
 
+def event_sessions(rows: DataFrame) -> DataFrame:
+    return rows.select("num", "session_id").distinct().select("num", "session_id", lit(DURATION_MS / 1000.0).alias("duration_s"), lit(1.0).alias("frame_hz"), (c("num") % 7 != 0).alias("overlap_identifiable"), F.create_map(lit("site"), F.concat(lit("site"), (c("num") % 3).cast("string"))).alias("meta"))
+
+
+def dealt(sessions: DataFrame, rows: DataFrame) -> DataFrame:
+    """Sessions dealt out by their id, to tasks whose number grows with the size of the events.
+
+    A session becomes thousands of frames, which Spark's estimates, the size of its own row, do not see. All frames of
+    a session stay in its task, so what is grouped by session is not shuffled again.
+    """
+    size = int(rows._jdf.queryExecution().optimizedPlan().collectLeaves().head().stats().sizeInBytes())
+    return sessions.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // FRAME_BYTES)), "session_id")
+
+
+def _frame_numbers(sessions: DataFrame) -> DataFrame:
+    return sessions.select("session_id", c("num").cast("long").alias("num"), F.explode(F.sequence(lit(0), F.floor(c("duration_s") * c("frame_hz")).cast("int"))).alias("i"))
+
+
+def _smile(person: Column | None = None) -> Column:
+    return _noise(7919, 104729, 613, 101, person) / 100.0
+
+
+def _intensity(person: Column | None = None) -> Column:
+    return 50.0 + _noise(71, 73, 79, 30, person)
+
+
+def event_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(session_id, i, energy_a, energy_b, speech_prob): both persons' intensities and the larger smile of each frame, side by side."""
+    rows = event_rows(spark, sf_dir)
+    at = _frame_numbers(dealt(event_sessions(rows), rows))
+    return at.select("session_id", "i", _intensity(lit("A")).alias("energy_a"), _intensity(lit("B")).alias("energy_b"), F.greatest(_smile(lit("A")), _smile(lit("B"))).alias("speech_prob"))
+
+
 def event_frames(sessions: DataFrame) -> DataFrame:
-    at = sessions.select("session_id", c("num").cast("long").alias("num"), F.explode(F.sequence(lit(0), F.floor(c("duration_s") * c("frame_hz")).cast("int"))).alias("i"))
-    f = at.withColumn("person", F.explode(F.array(lit("A"), lit("B"))))
+    f = _frame_numbers(sessions).withColumn("person", F.explode(F.array(lit("A"), lit("B"))))
     poor = (c("num") % 5 == 0) & (c("person") == "B")
     return f.select(
         "session_id",
@@ -46,7 +83,7 @@ def event_frames(sessions: DataFrame) -> DataFrame:
         (c("i") / 1.0).alias("t_s"),
         F.when(poor, _noise(7, 3, 1, 2) != 0).otherwise(_noise(7, 3, 1, 10) != 0).alias("tracked"),
         (_noise(11, 5, 2, 3) != 0).alias("on_partner"),
-        (_noise(7919, 104729, 613, 101) / 100.0).alias("smile"),
+        _smile().alias("smile"),
         (_noise(13, 17, 5, 50) / 100.0).alias("duchenne"),
         F.when(_noise(3, 1, 7, 11) == 0, lit(float("nan"))).otherwise(_noise(29, 31, 37, 60) / 100.0).alias("brow_raise"),
         F.when(_noise(5, 1, 3, 13) == 0, lit(float("nan"))).otherwise((_noise(997, 89, 41, 201) - 100) / 100.0).alias("valence"),
@@ -54,7 +91,7 @@ def event_frames(sessions: DataFrame) -> DataFrame:
         (_noise(53, 59, 61, 41) / 10.0).alias("head_pitch"),
         (_noise(43, 47, 3, 37) / 10.0).alias("head_yaw"),
         F.when(_noise(3, 2, 1, 4) == 0, lit(float("nan"))).otherwise(100.0 + _noise(17, 19, 23, 150)).alias("f0_hz"),
-        (50.0 + _noise(71, 73, 79, 30)).alias("intensity_db"),
+        _intensity().alias("intensity_db"),
         (_noise(83, 89, 97, 50) / 10.0).alias("wrist_speed"),
         (_noise(101, 103, 107, 4) == 0).alias("self_touch"),
     )
@@ -69,9 +106,9 @@ def event_corpus(spark: SparkSession, sf_dir: str, frames: bool = True) -> Corpu
         .when(c("event_type") == "signup", F.element_at(F.array(*map(lit, ("nod", "gesture", "posture_shift", "filled_pause"))), (e % 4 + 1).cast("int")))
     )
     spans = iv.normalize(rows.withColumn("kind", kind).filter("kind IS NOT NULL"), ["session_id", "person", "kind"])
-    sessions = rows.select("num", "session_id").distinct().select("num", "session_id", lit(DURATION_MS / 1000.0).alias("duration_s"), lit(1.0).alias("frame_hz"), (c("num") % 7 != 0).alias("overlap_identifiable"), F.create_map(lit("site"), F.concat(lit("site"), (c("num") % 3).cast("string"))).alias("meta"))
+    sessions = event_sessions(rows)
     voice = sessions.select("session_id", F.explode(F.array(lit("A"), lit("B"))).alias("person"), ((c("num") % 17) / 1000.0).alias("jitter"), ((c("num") % 13) / 100.0).alias("shimmer"))
-    return Corpus(sessions.drop("num"), speech, None, spans, event_frames(sessions) if frames else None, voice, settings=Settings(frame_hz=1.0))
+    return Corpus(sessions.drop("num"), speech, None, spans, event_frames(dealt(sessions, rows)) if frames else None, voice, settings=Settings(frame_hz=1.0))
 
 
 def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:

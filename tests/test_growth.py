@@ -28,6 +28,25 @@ def above(df, outer: str, inner: str) -> list[str]:
     return found
 
 
+@pytest.mark.parametrize("name", ["signal_unmix", "signal_level_model", "signal_short_runs", "interval_from_mask"])
+def test_frames_stay_where_they_are_made(spark, sf, name):
+    plan = entry.queries()[name](spark, sf)
+    assert above(plan, "Generate", "Exchange") and not above(plan, "Exchange", "Generate") and not above(plan, "BroadcastExchange", "Generate")
+
+
+def test_levels_are_side_by_side_without_an_aggregate(spark, sf):
+    plan = entry.queries()["signal_unmix"](spark, sf)
+    assert not above(plan, "HashAggregate", "Generate") and not above(plan, "SortAggregate", "Generate")
+
+
+def test_sessions_are_dealt_to_more_tasks_as_events_grow(spark, sf, monkeypatch):
+    from duologue.sources import testdata as td
+
+    e = td.event_rows(spark, sf)
+    monkeypatch.setattr(td, "FRAME_BYTES", 512)
+    assert td.dealt(td.event_sessions(e), e).rdd.getNumPartitions() > 4 * spark.sparkContext.defaultParallelism
+
+
 def test_frames_of_spans_come_once_without_a_distinct(spark):
     spans = spark.createDataFrame([("s", "A", 0.0, 10.0), ("s", "A", 2.0, 3.0), ("s", "A", 2.5, 12.0), ("s", "A", 20.2, 20.6), ("s", "A", 20.7, 20.9), ("s", "B", -3.0, 1.0), ("t", "A", 1.0, 1.0)], "session_id string, person string, start_s double, end_s double")
     for outer, last in ((False, []), (True, [20])):
