@@ -103,14 +103,15 @@ def probability_to_grid(chunks: DataFrame, frames: DataFrame, chunk_hz: float, k
 
     A chunk stands for its centre; between centres the value is linear, before the first and after
     the last it is held. Chunks are numbered without gaps, so a frame's two neighbours are found by
-    their numbers: two joins on keys and number. Tracks without chunks have probability zero.
+    their numbers: two joins on keys and number. Tracks without chunks have probability zero. Both tables have many rows
+    a session, which Spark's estimates may not see, so neither is sent to the driver.
     """
     keys = keys or ["session_id"]
     last = chunks.groupBy(*keys).agg(F.max("chunk").alias("__last"))
     at = F.col("t_s") * chunk_hz - 0.5
     low = F.greatest(F.lit(0), F.least(F.floor(at), F.col("__last")))
-    rows = frames.join(last, keys, "left").withColumn("__lo", low).withColumn("__hi", F.least(F.col("__lo") + 1, F.col("__last"))).withColumn("__w", F.greatest(F.lit(0.0), F.least(F.lit(1.0), at - F.col("__lo"))))
-    side = lambda name: chunks.select(*keys, F.col("chunk").alias(f"__{name}"), F.col("p").alias(f"__p{name}"))
+    rows = frames.join(last.hint("shuffle_hash"), keys, "left").withColumn("__lo", low).withColumn("__hi", F.least(F.col("__lo") + 1, F.col("__last"))).withColumn("__w", F.greatest(F.lit(0.0), F.least(F.lit(1.0), at - F.col("__lo"))))
+    side = lambda name: chunks.select(*keys, F.col("chunk").alias(f"__{name}"), F.col("p").alias(f"__p{name}")).hint("merge")
     met = rows.join(side("lo"), [*keys, "__lo"], "left").join(side("hi"), [*keys, "__hi"], "left")
     return met.select(*keys, "i", F.coalesce(F.col("__plo") + F.col("__w") * (F.col("__phi") - F.col("__plo")), F.lit(0.0)).alias("speech_prob"))
 

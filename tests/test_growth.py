@@ -39,6 +39,10 @@ def test_levels_are_side_by_side_without_an_aggregate(spark, sf):
     assert not above(plan, "HashAggregate", "Generate") and not above(plan, "SortAggregate", "Generate")
 
 
+def test_chunks_are_not_broadcast(spark, sf):
+    assert not above(entry.queries()["signal_probability_grid"](spark, sf), "BroadcastExchange", "Generate")
+
+
 def test_sessions_are_dealt_to_more_tasks_as_events_grow(spark, sf, monkeypatch):
     from duologue.sources import testdata as td
 
