@@ -8,15 +8,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+
+def run_edges(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each run of true values, and what comes after its last."""
+    edge = np.flatnonzero(np.diff(np.r_[0, np.asarray(mask, np.int8), 0]))
+    return edge[::2], edge[1::2]
 
 
 def runs_of(mask: np.ndarray) -> list[list[int]]:
     """[first, after last] of each run of true values."""
-    edge = np.flatnonzero(np.diff(np.r_[0, np.asarray(mask, np.int8), 0]))
-    return [[int(a), int(b)] for a, b in zip(edge[::2], edge[1::2])]
+    return [[a, b] for a, b in zip(*(x.tolist() for x in run_edges(mask)))]
 
 
 def hysteresis(p: np.ndarray, hz: float, on: float = 0.5, fall: float = 0.15, hold_s: float = 0.06, min_s: float = 0.1, pad_s: float = 0.03) -> list[tuple[float, float]]:
@@ -27,32 +34,56 @@ def hysteresis(p: np.ndarray, hz: float, on: float = 0.5, fall: float = 0.15, ho
     p = np.asarray(p, float)
     hold, last = max(1, round(hold_s * hz)), len(p)
     # silences that close a span: runs below the lower threshold that are long enough; what lies between them opens where it reaches ``on``
-    closing = [r for r in runs_of(p < max(0.01, on - fall)) if r[1] - r[0] >= hold]
-    spans: list[list[float]] = []
-    for begin, end in zip([0, *(b for _, b in closing)], [*(a for a, _ in closing), last]):
-        opened = np.flatnonzero(p[begin:end] >= on)
-        if len(opened) and (end - begin - opened[0]) / hz >= min_s:
-            a, b = max(0.0, (begin + int(opened[0])) / hz - pad_s), min(last / hz, end / hz + pad_s)
-            if spans and a <= spans[-1][1]:
-                spans[-1][1] = b
-            else:
-                spans.append([a, b])
-    return [(a, b) for a, b in spans]
+    low, high = run_edges(p < max(0.01, on - fall))
+    closing = high - low >= hold
+    begin, end = np.r_[0, high[closing]], np.r_[low[closing], last]
+    opened = np.r_[np.flatnonzero(p >= on), last]
+    first = opened[np.searchsorted(opened, begin)]
+    found = (first < end) & ((end - first) / hz >= min_s)
+    a, b = np.maximum(0.0, first[found] / hz - pad_s), np.minimum(last / hz, end[found] / hz + pad_s)
+    if not len(a):
+        return []
+    apart = a[1:] > b[:-1]
+    return list(zip(a[np.r_[True, apart]].tolist(), b[np.r_[apart, True]].tolist()))
 
 
 def viterbi(emission: np.ndarray, transition: np.ndarray) -> np.ndarray:
-    """The likeliest state path; emission (n, k) and transition (k, k) are log probabilities."""
-    n, k = emission.shape
-    back, score = np.zeros((n, k), np.int8), emission[0].copy()
+    return viterbi_all([emission], transition)[0]
+
+
+def _padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(steps, parts, states) of tracks side by side, and their lengths."""
+    lengths = np.array([len(x) for x in parts])
+    out = np.zeros((lengths.max(), len(parts), parts[0].shape[1]))
+    for k, x in enumerate(parts):
+        out[: len(x), k] = x
+    return out, lengths
+
+
+def viterbi_all(emissions: list[np.ndarray], transition: np.ndarray) -> list[np.ndarray]:
+    """The best path of each track; a step is taken for all tracks at once, and a track that has ended stays where it is."""
+    e, lengths = _padded(emissions)
+    n, tracks, k = e.shape
+    back, score, same = np.zeros((n, tracks, k), np.int8), e[0].copy(), np.arange(k, dtype=np.int8)
+    shortest = lengths.min()
     for t in range(1, n):
-        step = score[:, None] + transition
-        back[t] = step.argmax(axis=0)
-        score = step.max(axis=0) + emission[t]
-    path = np.empty(n, np.int8)
-    path[-1] = int(score.argmax())
+        best, source = score[:, :1] + transition[0], back[t]
+        for i in range(1, k):
+            step = score[:, i : i + 1] + transition[i]
+            source[step > best] = i
+            np.maximum(best, step, out=best)
+        best += e[t]
+        if t < shortest:
+            score = best
+        else:
+            over = t >= lengths
+            source[over] = same
+            score = np.where(over[:, None], score, best)
+    path, at = np.empty((n, tracks), np.int8), np.arange(tracks)
+    path[-1] = score.argmax(axis=1)
     for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
+        path[t - 1] = back[t, at, path[t]]
+    return [path[:m, j] for j, m in enumerate(lengths)]
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -62,15 +93,30 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 def posteriors(emission: np.ndarray, transition: np.ndarray) -> np.ndarray:
     """State probabilities of each frame given all frames."""
-    n = len(emission)
-    forward, backward = np.empty_like(emission), np.zeros_like(emission)
-    forward[0] = emission[0]
+    return posteriors_all([emission], transition)[0]
+
+
+def posteriors_all(emissions: list[np.ndarray], transition: np.ndarray) -> list[np.ndarray]:
+    """State probabilities of each frame of each track given all of its frames; a step is taken for all tracks at once.
+
+    Likelihoods are kept as shares of their sum at each frame. Every transition is possible, so those of what comes
+    after differ by no more than the transitions do, and a product of both is never zero for all states.
+    """
+    e, lengths = _padded(emissions)
+    n, shortest, move = len(e), lengths.min(), np.exp(transition)
+    p = np.exp(e - e.max(axis=2, keepdims=True))
+    forward, backward, every = np.empty_like(p), np.ones_like(p), np.ones((e.shape[2], e.shape[2]))
+    forward[0] = p[0] / p[0].sum(axis=1, keepdims=True)
     for t in range(1, n):
-        forward[t] = _logsum(forward[t - 1][:, None] + transition, 0) + emission[t]
+        at = (forward[t - 1] @ move) * p[t]
+        np.divide(at, at @ every, out=forward[t])
     for t in range(n - 2, -1, -1):
-        backward[t] = _logsum(transition + emission[t + 1] + backward[t + 1], 1)
-    joint = forward + backward
-    return np.exp(joint - _logsum(joint, 1)[:, None])
+        at = (backward[t + 1] * p[t + 1]) @ move.T
+        at /= at @ every
+        backward[t] = at if t + 1 < shortest else np.where((t + 1 < lengths)[:, None], at, 1.0)
+    joint = forward * backward
+    joint /= joint.sum(axis=2, keepdims=True)
+    return [joint[:m, j] for j, m in enumerate(lengths)]
 
 
 def speaker_transitions(stay: float = 6.0, swap_penalty: float = 1.0) -> np.ndarray:
@@ -136,17 +182,26 @@ def analytic(x: np.ndarray) -> np.ndarray:
 
 def oscillations(main: np.ndarray, other: np.ndarray, hz: float, lo: float = 1.5, hi: float = 5.0, amplitude: float = 1.5, cycles: float = 1.2) -> list[tuple[float, float]]:
     """Spans where ``main`` swings by at least the amplitude, and by no less than ``other`` does, for enough cycles: nods in pitch, shakes in yaw."""
-    known = np.isfinite(main) & np.isfinite(other)
+    return swings(main, other, hz, lo, hi, amplitude, cycles)[0]
+
+
+def swings(pitch: np.ndarray, yaw: np.ndarray, hz: float, lo: float = 1.5, hi: float = 5.0, amplitude: float = 1.5, cycles: float = 1.2) -> tuple[list[tuple[float, float]], list[tuple[float, float]]]:
+    """The oscillations of pitch and those of yaw, each signal filtered once."""
+    known = np.isfinite(pitch) & np.isfinite(yaw)
     if known.sum() < hz:
-        return []
-    at = np.arange(len(main))
-    fill = lambda x: np.interp(at, at[known], x[known])
-    z, w = analytic(bandpass(fill(main), hz, lo, hi)), np.abs(analytic(bandpass(fill(other), hz, lo, hi)))
-    swing = np.abs(z)
-    phase = np.unwrap(np.angle(z)) / (2 * np.pi)
-    spans = runs_of((swing >= amplitude) & (swing >= w) & known)
-    # cycles are counted to the frame after the span, where there is one
-    return [(a / hz, b / hz) for a, b in spans if abs(phase[min(b, len(phase) - 1)] - phase[a]) >= cycles]
+        return [], []
+    at = np.arange(len(pitch))
+    z = [analytic(bandpass(np.interp(at, at[known], x[known]), hz, lo, hi)) for x in (pitch, yaw)]
+    size, found = [np.abs(x) for x in z], []
+    for own, rest in ((0, 1), (1, 0)):
+        a, b = run_edges((size[own] >= amplitude) & (size[own] >= size[rest]) & known)
+        if len(a):
+            phase = np.unwrap(np.angle(z[own])) / (2 * np.pi)
+            # cycles are counted to the frame after the span, where there is one
+            enough = np.abs(phase[np.minimum(b, len(phase) - 1)] - phase[a]) >= cycles
+            a, b = a[enough], b[enough]
+        found.append(list(zip((a / hz).tolist(), (b / hz).tolist())))
+    return found[0], found[1]
 
 
 def correlation_peak(surface: np.ndarray, reach: int, refine: bool = False) -> tuple[float, float]:
@@ -218,18 +273,46 @@ def filled_pauses(mfcc: np.ndarray, log_f0: np.ndarray, speech: np.ndarray, hz:
     return [(a, b) for a, b in spans if min_s <= b - a <= max_s]
 
 
-SPANS = "session_id string, person string, start_s double, end_s double"
+#: Groups that a kernel is given at once.
+TOGETHER = 128
 
 
-def spans_by(frames: DataFrame, columns: list[str], kernel: Callable[..., list[tuple[float, float]]], hz: float) -> DataFrame:
-    """Applies a kernel of arrays to every (session, person) and returns its spans as rows."""
+def map_groups(rows: DataFrame, keys: list[str], columns: list[str], kernel: Callable[[list[dict[str, np.ndarray]]], list[dict[str, np.ndarray]]], made: str) -> DataFrame:
+    """(keys, made): what ``kernel`` makes of the groups' columns, each an array in order of ``i``.
+
+    Groups are packed to one row each, so many of them reach Python at once and a kernel may take the same step for all
+    it is given. Rows that are dealt out by a key already are not shuffled.
+    """
+    packed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", *columns))).alias("__rows"))
+    schema = StructType([packed.schema[k] for k in keys] + StructType.fromDDL(made).fields)
+    names, arrow = schema.names[len(keys) :], to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                lists = part.column(len(keys))
+                cuts = np.cumsum(lists.value_lengths().to_numpy())[:-1]
+                split = {name: np.split(x.to_numpy(zero_copy_only=False), cuts) for name, x in zip(["i", *columns], lists.flatten().flatten())}
+                found = kernel([{name: x[k] for name, x in split.items()} for k in range(part.num_rows)])
+                owner = pa.array(np.repeat(np.arange(part.num_rows), [len(f[names[0]]) for f in found]))
+                values = [pa.concat_arrays([pa.array(f[name], arrow.field(name).type, from_pandas=False) for f in found]) for name in names]
+                yield pa.RecordBatch.from_arrays([part.column(k).take(owner) for k in range(len(keys))] + values, schema=arrow)
+
+    return packed.mapInArrow(run, schema)
+
+
+SPANS = "start_s double, end_s double"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        spans = kernel(*(pdf[c].to_numpy() for c in columns), hz)
-        return pd.DataFrame({"session_id": pdf["session_id"].iloc[0], "person": pdf["person"].iloc[0], "start_s": [a for a, _ in spans], "end_s": [b for _, b in spans]}).astype({"start_s": float, "end_s": float})
 
-    return frames.select("session_id", "person", "i", *columns).groupBy("session_id", "person").applyInPandas(run, SPANS)
+def _spans(found: list[tuple[float, float]]) -> dict[str, np.ndarray]:
+    both = np.array(found, float).reshape(-1, 2)
+    return {"start_s": both[:, 0], "end_s": both[:, 1]}
+
+
+def spans_by(frames: DataFrame, columns: list[str], kernel: Callable[..., list[tuple[float, float]]], hz: float) -> DataFrame:
+    """Applies a kernel of arrays to every (session, person) and returns its spans as rows."""
+    return map_groups(frames, ["session_id", "person"], columns, lambda groups: [_spans(kernel(*(g[x] for x in columns), hz)) for g in groups], SPANS)
 
 
 def nods(frames: DataFrame, hz: float) -> DataFrame:
@@ -240,17 +323,28 @@ def shakes(frames: DataFrame, hz: float) -> DataFrame:
     return spans_by(frames, ["head_yaw", "head_pitch"], oscillations, hz)
 
 
+def head_movements(frames: DataFrame, hz: float) -> DataFrame:
+    """(session_id, person, start_s, end_s, kind): nods and shakes in one pass over the frames."""
+
+    def kernel(groups):
+        for g in groups:
+            nodded, shaken = swings(g["head_pitch"], g["head_yaw"], hz)
+            yield _spans(nodded + shaken) | {"kind": np.array(["nod"] * len(nodded) + ["head_shake"] * len(shaken), object)}
+
+    return map_groups(frames, ["session_id", "person"], ["head_pitch", "head_yaw"], lambda groups: list(kernel(groups)), f"{SPANS}, kind string")
+
+
 def decode_speakers(emissions: DataFrame, hz: float, min_run_s: float = 0.15, min_overlap_s: float = 0.2) -> DataFrame:
     """(session_id, i, speaker_state, confidence) from frame log likelihoods (session_id, i, e array of 4)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        e, t = np.stack(pdf["e"].map(np.asarray).to_list()).astype(float), speaker_transitions()
-        states = clean_states(viterbi(e, t), max(1, round(min_run_s * hz)), max(1, round(min_overlap_s * hz)))
-        p = posteriors(e, t)
-        return pd.DataFrame({"session_id": pdf["session_id"].iloc[0], "i": pdf["i"].to_numpy(), "speaker_state": states, "confidence": p[np.arange(len(p)), states].astype(np.float32)})
+    def kernel(groups):
+        t, e = speaker_transitions(), [np.stack([g[f"e{k}"] for k in range(4)], axis=1) for g in groups]
+        for g, path, p in zip(groups, viterbi_all(e, t), posteriors_all(e, t)):
+            states = clean_states(path, max(1, round(min_run_s * hz)), max(1, round(min_overlap_s * hz)))
+            yield {"i": g["i"], "speaker_state": states, "confidence": p[np.arange(len(p)), states].astype(np.float32)}
 
-    return emissions.groupBy("session_id").applyInPandas(run, "session_id string, i int, speaker_state tinyint, confidence float")
+    rows = emissions.select("session_id", "i", *(F.col("e")[k].cast("double").alias(f"e{k}") for k in range(4)))
+    return map_groups(rows, ["session_id"], [f"e{k}" for k in range(4)], lambda groups: list(kernel(groups)), "i int, speaker_state tinyint, confidence float")
 
 
 # ---------------------------------------------------------------- pure column expressions

@@ -28,7 +28,7 @@ def above(df, outer: str, inner: str) -> list[str]:
     return found
 
 
-@pytest.mark.parametrize("name", ["signal_unmix", "signal_level_model", "signal_short_runs", "interval_from_mask"])
+@pytest.mark.parametrize("name", ["signal_unmix", "signal_level_model", "signal_short_runs", "signal_speech_spans", "signal_attribution", "signal_nods", "interval_from_mask"])
 def test_frames_stay_where_they_are_made(spark, sf, name):
     plan = entry.queries()[name](spark, sf)
     assert above(plan, "Generate", "Exchange") and not above(plan, "Exchange", "Generate") and not above(plan, "BroadcastExchange", "Generate")
@@ -57,3 +57,39 @@ def test_frames_of_spans_come_once_without_a_distinct(spark):
         got = iv.to_frames(spans, 1.0, outer=outer)
         assert [(r["session_id"], r["person"], r["i"]) for r in rows(got, "session_id", "person", "i")] == [*(("s", "A", i) for i in [*range(12), *last]), ("s", "B", 0)]
         assert not above(got, "HashAggregate", "Generate")
+
+
+def test_steps_of_many_tracks_at_once():
+    rng, move = np.random.default_rng(3), signals.speaker_transitions()
+    tracks = [rng.normal(size=(n, 4)) * 4 for n in (1, 7, 60, 60, 33)]
+
+    def logs(e):
+        forward, backward = [e[0]], [np.zeros(4)]
+        for x in e[1:]:
+            forward.append(np.logaddexp.reduce(forward[-1][:, None] + move, axis=0) + x)
+        for x in e[:0:-1]:
+            backward.insert(0, np.logaddexp.reduce(move + x + backward[0], axis=1))
+        p = np.array(forward) + np.array(backward)
+        return np.exp(p - np.logaddexp.reduce(p, axis=1)[:, None])
+
+    for e, path, p in zip(tracks, signals.viterbi_all(tracks, move), signals.posteriors_all(tracks, move)):
+        score = lambda s: e[np.arange(len(e)), s].sum() + move[s[:-1], s[1:]].sum()
+        assert np.array_equal(path, signals.viterbi(e, move)) and np.allclose(p, logs(e), rtol=1e-9, atol=1e-12)
+        assert all(score(path) >= score(rng.integers(0, 4, len(e))) for _ in range(20))
+
+
+def test_sessions_attributed_together_are_as_alone():
+    rng = np.random.default_rng(5)
+    scenes = [(rng.normal(60, 6, (n, 2)), rng.random(n)) for n in (300, 450, 120)] + [(np.full((200, 2), 50.0), rng.random(200))]
+    cfg = attribution.AttributionSettings()
+    both = attribution.together([attribution._attributed(e, p, 10.0, (None, None), cfg, None) for e, p in scenes], cfg)
+    for (e, p), found in zip(scenes, both):
+        alone = attribution.attribute(e, p, 10.0)
+        assert np.array_equal(found.state, alone.state) and np.allclose(found.confidence, alone.confidence) and found.diagnostics["method"] == alone.diagnostics["method"]
+
+
+def test_groups_reach_a_kernel_together_and_in_order(spark):
+    df = spark.createDataFrame([(f"s{k}", i, float(i * k) if i else None) for k in range(5) for i in reversed(range(3))], "session_id string, i int, x double")
+    seen = lambda groups: [{"n": [len(groups)], "xs": [list(g["x"])]} for g in groups]
+    got = rows(signals.map_groups(df.repartition(1), ["session_id"], ["x"], seen, "n int, xs array<double>"), "session_id")
+    assert [r["n"] for r in got] == [5] * 5 and [np.isnan(r["xs"][0]) for r in got] == [True] * 5 and [r["xs"][1:] for r in got] == [[k, 2 * k] for k in map(float, range(5))]
