@@ -8,6 +8,7 @@ the number of spans -- instead of a pairwise interval join.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -123,18 +124,68 @@ def from_mask(frames: DataFrame, mask: str, hz: Column | float, keys: Sequence[s
     return true.withColumn("__run", run).groupBy(*keys, "__run").agg((F.min("i") / F.first("__hz") + t0).alias("start_s"), ((F.max("i") + 1) / F.first("__hz") + t0).alias("end_s")).drop("__run")
 
 
-def to_frames(spans: DataFrame, hz: Column | float, keys: Sequence[str] = PERSON_KEYS, outer: bool = False) -> DataFrame:
-    """(keys, i) of frames inside spans. The left edge i/hz decides; ``outer`` uses floor(start) to ceil(end) instead.
-
-    Each span gives the frames beyond those of the spans before it, so no frame comes twice and none is compared.
-    """
+def frame_ranges(spans: DataFrame, hz: Column | float, keys: Sequence[str] = PERSON_KEYS, outer: bool = False) -> DataFrame:
+    """(keys, a, b): first and last frame inside each span, without those of the spans before it, so no frame comes twice."""
     hz = hz if isinstance(hz, Column) else F.lit(float(hz))
     first = F.floor(F.col("start_s") * hz) if outer else F.ceil(F.col("start_s") * hz)
     last = F.ceil(F.col("end_s") * hz) - 1
-    some = spans.select(*keys, F.greatest(first, F.lit(0)).alias("a"), last.alias("b")).filter("b >= a")
+    some = spans.select(*keys, F.greatest(first, F.lit(0)).cast("int").alias("a"), last.cast("int").alias("b")).filter("b >= a")
     before = F.max("b").over(Window.partitionBy(*keys).orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
-    new = some.withColumn("a", F.greatest("a", before + 1)).filter("b >= a")
-    return new.select(*keys, F.explode(F.sequence(F.col("a").cast("int"), F.col("b").cast("int"))).alias("i"))
+    return some.withColumn("a", F.greatest("a", before + 1)).filter("b >= a")
+
+
+def to_frames(spans: DataFrame, hz: Column | float, keys: Sequence[str] = PERSON_KEYS, outer: bool = False) -> DataFrame:
+    """(keys, i) of frames inside spans. The left edge i/hz decides; ``outer`` uses floor(start) to ceil(end) instead."""
+    return frame_ranges(spans, hz, keys, outer).select(*keys, F.explode(F.sequence("a", "b")).alias("i"))
+
+
+PERSONS = ("A", "B")
+
+
+def _own(name: str) -> Column:
+    return F.when(F.col("person") == PERSONS[0], F.col(f"__{name}_{PERSONS[0]}")).when(F.col("person") == PERSONS[1], F.col(f"__{name}_{PERSONS[1]}"))
+
+
+def flag_frames(frames: DataFrame, kinds: dict[str, DataFrame]) -> DataFrame:
+    """frames (session_id, person, i, ...) with a flag for each kind: whether the frame lies in its ranges (session_id, person, a, b), which do not overlap.
+
+    The ranges become one row a session, with an array of a flag a frame, so frames are looked up and not shuffled by their number.
+    """
+    rows = reduce(DataFrame.unionByName, (r.select("session_id", "person", "a", "b", F.lit(name).alias("kind")) for name, r in kinds.items()))
+    sides = [(name, p) for name in kinds for p in PERSONS]
+    packed = rows.groupBy("session_id").agg(*(F.sort_array(F.collect_list(F.when((F.col("kind") == name) & (F.col("person") == p), F.struct("a", "b")))).alias(f"__{name}_{p}") for name, p in sides))
+
+    def flags(r: str) -> Column:
+        free = lambda x, k: x["a"] - F.coalesce(F.get(r, k - 1)["b"] + 1, F.lit(0))
+        return F.flatten(F.transform(r, lambda x, k: F.concat(F.array_repeat(F.lit(False), free(x, k)), F.array_repeat(F.lit(True), x["b"] - x["a"] + 1))))
+
+    flat = packed.select("session_id", *(flags(f"__{name}_{p}").alias(f"__{name}_{p}") for name, p in sides))
+    met = frames.join(flat.hint("shuffle_hash"), "session_id", "left")
+    return met.select(*frames.columns, *(F.coalesce(F.get(_own(name), F.col("i")), F.lit(False)).alias(name) for name in kinds))
+
+
+def frames_within(frames: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
+    """frames (session_id, person, i, ...) with ``key`` of each range (session_id, person, key, a, b) that they lie in; ranges may overlap.
+
+    The ranges become one row a session. For each frame it holds the first and last range, in order of ``a``, that can hold it.
+    """
+    upto = Window.partitionBy("session_id", "person").orderBy("a", "b", key).rowsBetween(Window.unboundedPreceding, 0)
+    piece = F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), F.col(key).alias("key"), F.col("m").cast("int").alias("m"))
+    packed = ranges.withColumn("m", F.max("b").over(upto)).groupBy("session_id").agg(*(F.sort_array(F.collect_list(F.when(F.col("person") == p, piece))).alias(f"__r_{p}") for p in PERSONS))
+
+    def first(r: str) -> Column:
+        return F.flatten(F.transform(r, lambda x, k: F.array_repeat(k, x["m"] - F.coalesce(F.get(r, k - 1)["m"], F.lit(-1)))))
+
+    def last(r: str) -> Column:
+        until = lambda x, k: F.coalesce(F.get(r, k + 1)["a"], x["m"] + 1)
+        return F.concat(F.array_repeat(F.lit(-1), F.coalesce(F.get(r, F.lit(0))["a"], F.lit(0))), F.flatten(F.transform(r, lambda x, k: F.array_repeat(k, until(x, k) - x["a"]))))
+
+    sides = ((f"__r_{p}", p) for p in PERSONS)
+    flat = packed.select("session_id", *(x.alias(f"__{name}_{p}") for r, p in sides for name, x in (("lo", first(r)), ("hi", last(r)), ("b", F.col(r)["b"]), ("key", F.col(r)["key"]))))
+    # no higher-order function below: those are not compiled, and a row with a session's arrays would be copied for each frame
+    lo, hi = F.get(_own("lo"), F.col("i")), F.get(_own("hi"), F.col("i"))
+    met = frames.join(flat.hint("shuffle_hash"), "session_id").withColumn("__k", F.explode(F.when(lo <= hi, F.sequence(lo, hi))))
+    return met.filter(F.get(_own("b"), F.col("__k")) >= F.col("i")).select(*frames.columns, F.get(_own("key"), F.col("__k")).alias(key))
 
 
 def overlap_with(units: DataFrame, spans: DataFrame, lo: Column, hi: Column, name: str, keys: Sequence[str], unit: str = "unit") -> DataFrame:

@@ -82,10 +82,10 @@ def timeline_table(corpus: Corpus) -> DataFrame:
     """One row for each session and frame with both persons' signals side by side."""
     signals = {"f0_hz": "f0", "intensity_db": "intensity", "smile": "smile", "head_pitch": "head_pitch", "head_yaw": "head_yaw", "on_partner": "gaze_on_partner", "tracked": "face_tracked", "expressivity": "expressivity", "wrist_speed": "wrist_speed"}
     have = {k: v for k, v in signals.items() if k in corpus.frames.columns}
-    speaking = iv.to_frames(corpus.turn_set.speech.join(corpus.sessions.select("session_id", "frame_hz"), "session_id"), c("frame_hz")).withColumn("speech", lit(1))
-    rows = corpus.frames.join(speaking, ["session_id", "person", "i"], "left")
+    speaking = iv.frame_ranges(corpus.turn_set.speech.join(corpus.sessions.select("session_id", "frame_hz"), "session_id"), c("frame_hz"))
+    rows = iv.flag_frames(corpus.frames, {"speech": speaking})
     wide = [F.max(F.when(c("person") == p, c(k))).alias(f"{v}_{p}") for k, v in have.items() for p in "AB"]
-    spoke = [F.max(F.when(c("person") == p, F.coalesce("speech", lit(0)))).alias(f"speech_{p}") for p in "AB"]
+    spoke = [F.max(F.when(c("person") == p, c("speech").cast("int"))).alias(f"speech_{p}") for p in "AB"]
     out = rows.groupBy("session_id", "i").agg(F.first("t_s").alias("t_s"), *spoke, *wide)
     if corpus.state is not None:
         out = out.join(corpus.state.select("session_id", "i", "speaker_state", c("confidence").alias("attribution_confidence")), ["session_id", "i"], "left")

@@ -93,3 +93,16 @@ def test_groups_reach_a_kernel_together_and_in_order(spark):
     seen = lambda groups: [{"n": [len(groups)], "xs": [list(g["x"])]} for g in groups]
     got = rows(signals.map_groups(df.repartition(1), ["session_id"], ["x"], seen, "n int, xs array<double>"), "session_id")
     assert [r["n"] for r in got] == [5] * 5 and [np.isnan(r["xs"][0]) for r in got] == [True] * 5 and [r["xs"][1:] for r in got] == [[k, 2 * k] for k in map(float, range(5))]
+
+
+def test_look_ups_of_frames(spark):
+    rng = np.random.default_rng(11)
+    frames = spark.createDataFrame([(s, p, i) for s in "st" for p in "AB" for i in range(40)], "session_id string, person string, i int")
+    made = [("s", str(p), int(k), int(a), int(a + n)) for p in "AB" for k, (a, n) in enumerate(zip(rng.integers(0, 38, 12), rng.integers(0, 9, 12)))] + [("t", "B", 7, 0, 0)]
+    ranges = spark.createDataFrame(made, "session_id string, person string, turn_index int, a int, b int")
+    got = sorted(tuple(r) for r in iv.frames_within(frames, ranges, "turn_index").collect())
+    assert got == sorted((s, p, i, k) for s, p, k, a, b in made for i in range(a, b + 1) if i < 40)
+    apart = [("s", "A", 3, 5), ("s", "A", 6, 6), ("s", "A", 30, 60), ("s", "B", 0, 0), ("u", "A", 1, 2)]
+    flagged = iv.flag_frames(frames, {"x": spark.createDataFrame(apart, "session_id string, person string, a int, b int"), "y": spark.createDataFrame([("t", "B", 39, 39)], "session_id string, person string, a int, b int")})
+    assert {(r["session_id"], r["person"], r["i"]) for r in flagged.collect() if r["x"]} == {(s, p, i) for s, p, a, b in apart for i in range(a, min(b, 39) + 1) if s != "u"}
+    assert [tuple(r) for r in flagged.filter("y").collect()] == [("t", "B", 39, False, True)] and flagged.count() == 160
