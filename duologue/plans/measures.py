@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +43,11 @@ def with_sessions(corpus: Corpus, rows: DataFrame) -> DataFrame:
     return rows.join(corpus.sessions.select("session_id", "duration_s", "frame_hz"), "session_id")
 
 
+def with_rate(corpus: Corpus, frames: DataFrame) -> DataFrame:
+    """Frames with their rate; they are many, so it is the sessions that are looked up, each in the task of its frames."""
+    return frames.join(corpus.sessions.select("session_id", "frame_hz").hint("shuffle_hash"), "session_id")
+
+
 def n_bins(corpus: Corpus) -> int:
     return max(2, corpus.settings.dynamics.n_bins)
 
@@ -310,9 +313,10 @@ def entrainment(series: DataFrame, name: str, least: int) -> DataFrame:
 def entrainment_facts(corpus: Corpus) -> DataFrame:
     cfg, hz = corpus.settings.prosody, c("frame_hz")
     rows = with_sessions(corpus, corpus.turn_set.turns.select("session_id", "person", "turn_index", "start_s", "end_s"))
-    at = rows.select("session_id", "person", "turn_index", F.explode(F.sequence(F.floor(c("start_s") * hz).cast("int"), (F.ceil(c("end_s") * hz) - 1).cast("int"))).alias("i"))
+    ranges = rows.select(*KEYS, "turn_index", F.floor(c("start_s") * hz).alias("a"), (F.ceil(c("end_s") * hz) - 1).alias("b"))
     f0 = F.nanvl(c("f0_hz"), lit(None))
-    stats = at.join(corpus.frames.select(*KEYS, "i", F.when(f0 > 0, 12 * F.log2(f0)).alias("st"), F.nanvl(c("intensity_db"), lit(None)).alias("db")), [*KEYS, "i"]).groupBy("session_id", "person", "turn_index").agg(F.count("st").alias("n"), F.avg("st").alias("st"), F.avg("db").alias("db"))
+    heard = corpus.frames.select(*KEYS, "i", F.when(f0 > 0, 12 * F.log2(f0)).alias("st"), F.nanvl(c("intensity_db"), lit(None)).alias("db"))
+    stats = iv.frames_within(heard, ranges, "turn_index").groupBy("session_id", "person", "turn_index").agg(F.count("st").alias("n"), F.avg("st").alias("st"), F.avg("db").alias("db"))
     voiced = stats.filter(c("n") >= cfg.min_voiced_frames)
     pitch = voiced.select("session_id", "person", "turn_index", c("st").alias("x"))
     level = stats.filter("db IS NOT NULL").select("session_id", "person", "turn_index", c("db").alias("x"))
@@ -395,15 +399,13 @@ register("median_topic_duration", "topics", lambda: c("topic_median"))
 
 
 def _flagged_frames(corpus: Corpus) -> DataFrame:
-    """Frames with a flag for each kind of span they lie in; all kinds are joined at once."""
+    """Frames with a flag for each kind of span they lie in; all kinds are looked up at once."""
     if corpus.speech is None:
         return corpus.frames
     ts, rate = corpus.turn_set, corpus.sessions.select("session_id", "frame_hz")
     heard = turns.listening(ts.turns, ts.speech)
     kinds = {"lis": (heard, False), "vlis": (heard, True), "spk": (iv.normalize(ts.turns), False), "vspk": (ts.speech, True)}
-    inside = [iv.to_frames(spans.join(rate, "session_id"), c("frame_hz"), KEYS, outer).select(*KEYS, "i", lit(name).alias("kind")) for name, (spans, outer) in kinds.items()]
-    flags = reduce(DataFrame.unionByName, inside).groupBy(*KEYS, "i").agg(*(F.bool_or(c("kind") == name).alias(name) for name in kinds))
-    return corpus.frames.join(flags, [*KEYS, "i"], "left")
+    return iv.flag_frames(corpus.frames, {name: iv.frame_ranges(spans.join(rate, "session_id"), c("frame_hz"), KEYS, outer) for name, (spans, outer) in kinds.items()})
 
 
 @person_facts("face")
@@ -440,7 +442,7 @@ def affect_share(corpus: Corpus) -> DataFrame:
     rows = corpus.frames.select(*KEYS, F.when(c("tracked"), F.nanvl(c("valence"), lit(None))).alias("v")).filter("v IS NOT NULL")
     rows = rows.withColumn("own", F.count("*").over(Window.partitionBy(*KEYS))).filter("own >= 50")
     cut = rows.groupBy("session_id").agg(F.count("*").alias("n"), F.percentile("v", F.array(lit(0.25), lit(0.75))).alias("q")).filter("n >= 100")
-    return rows.join(cut, "session_id").groupBy(*KEYS).agg(share(c("v") > c("q")[1]).alias("pos_share"), share(c("v") < c("q")[0]).alias("neg_share"))
+    return rows.join(cut.hint("shuffle_hash"), "session_id").groupBy(*KEYS).agg(share(c("v") > c("q")[1]).alias("pos_share"), share(c("v") < c("q")[0]).alias("neg_share"))
 
 
 @session_facts("mutual_gaze")
@@ -448,7 +450,7 @@ def mutual_gaze(corpus: Corpus) -> DataFrame:
     cfg = corpus.settings.vision
     pair = corpus.frames.groupBy("session_id", "i").agg(F.bool_and("tracked").alias("both"), F.bool_and("on_partner").alias("on"), F.count("*").alias("k")).filter("k = 2")
     level = pair.groupBy("session_id").agg(F.count_if(c("both")).alias("n_both"), F.avg(F.when(c("both"), c("on").cast("double"))).alias("mutual"))
-    mask = pair.withColumn("m", c("both") & c("on")).join(corpus.sessions.select("session_id", "frame_hz"), "session_id")
+    mask = with_rate(corpus, pair.withColumn("m", c("both") & c("on")))
     runs = iv.drop_short(iv.merge_gaps(iv.from_mask(mask.filter("m"), "m", c("frame_hz"), ["session_id"]), cfg.mutual_gaze_gap_s, ["session_id"]), cfg.mutual_gaze_min_s)
     counts = runs.groupBy("session_id").agg(F.count("*").alias("n_mutual"))
     return corpus.sessions.select("session_id").join(level, "session_id", "left").join(counts, "session_id", "left").fillna(0, ["n_mutual"])
@@ -456,7 +458,7 @@ def mutual_gaze(corpus: Corpus) -> DataFrame:
 
 @person_facts("brows")
 def brow_facts(corpus: Corpus) -> DataFrame:
-    mask = corpus.frames.withColumn("m", F.coalesce(F.nanvl(c("brow_raise"), lit(None)) >= corpus.settings.vision.brow_min, lit(False))).join(corpus.sessions.select("session_id", "frame_hz"), "session_id")
+    mask = with_rate(corpus, corpus.frames.withColumn("m", F.coalesce(F.nanvl(c("brow_raise"), lit(None)) >= corpus.settings.vision.brow_min, lit(False))))
     runs = iv.drop_short(iv.merge_gaps(iv.from_mask(mask.filter("m"), "m", c("frame_hz")), 0.15), 0.1)
     return corpus.spine.join(runs.groupBy(*KEYS).agg(F.count("*").alias("n_brows")), KEYS, "left").fillna(0, ["n_brows"])
 
@@ -464,9 +466,9 @@ def brow_facts(corpus: Corpus) -> DataFrame:
 @person_facts("duchenne")
 def duchenne_facts(corpus: Corpus) -> DataFrame:
     rate = corpus.sessions.select("session_id", "frame_hz")
-    smiles = kind(corpus, "smile").join(rate, "session_id").select(*KEYS, "start_s", F.floor(c("start_s") * c("frame_hz")).alias("i0"), (F.floor(c("end_s") * c("frame_hz")) - 1).alias("i1")).filter("i1 >= i0")
-    at = smiles.select(*KEYS, "start_s", F.explode(F.sequence(c("i0").cast("int"), c("i1").cast("int"))).alias("i"))
-    peak = at.join(corpus.frames.select(*KEYS, "i", F.nanvl(c("duchenne"), lit(None)).alias("d")), [*KEYS, "i"]).groupBy(*KEYS, "start_s").agg(F.max("d").alias("d")).filter("d IS NOT NULL")
+    smiles = kind(corpus, "smile").join(rate, "session_id").select(*KEYS, "start_s", F.floor(c("start_s") * c("frame_hz")).alias("a"), (F.floor(c("end_s") * c("frame_hz")) - 1).alias("b")).filter("b >= a")
+    shown = corpus.frames.select(*KEYS, "i", F.nanvl(c("duchenne"), lit(None)).alias("d"))
+    peak = iv.frames_within(shown, smiles, "start_s").groupBy(*KEYS, "start_s").agg(F.max("d").alias("d")).filter("d IS NOT NULL")
     return peak.groupBy(*KEYS).agg(share(c("d") >= corpus.settings.vision.duchenne_min).alias("duchenne_share"))
 
 
@@ -642,7 +644,7 @@ person_facts("smile_trend")(lambda corpus: _trend_cover(corpus, kind(corpus, "sm
 
 @person_facts("gaze_trend")
 def gaze_trend(corpus: Corpus) -> DataFrame:
-    mask = corpus.frames.withColumn("m", c("on_partner") & c("tracked")).join(corpus.sessions.select("session_id", "frame_hz"), "session_id")
+    mask = with_rate(corpus, corpus.frames.withColumn("m", c("on_partner") & c("tracked")))
     return _trend_cover(corpus, iv.from_mask(mask.filter("m"), "m", c("frame_hz")), "gaze_change")
 
 

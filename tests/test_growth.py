@@ -106,3 +106,12 @@ def test_look_ups_of_frames(spark):
     flagged = iv.flag_frames(frames, {"x": spark.createDataFrame(apart, "session_id string, person string, a int, b int"), "y": spark.createDataFrame([("t", "B", 39, 39)], "session_id string, person string, a int, b int")})
     assert {(r["session_id"], r["person"], r["i"]) for r in flagged.collect() if r["x"]} == {(s, p, i) for s, p, a, b in apart for i in range(a, min(b, 39) + 1) if s != "u"}
     assert [tuple(r) for r in flagged.filter("y").collect()] == [("t", "B", 39, False, True)] and flagged.count() == 160
+
+
+@pytest.mark.parametrize("name", ["timeline_table", "measures_prosody", "measures_face_gaze_body_affect"])
+def test_frames_are_not_joined_by_number(spark, sf, name):
+    plan = entry.queries()[name](spark, sf)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in text.splitlines() if "Join [" in x or "JoinExec" in x]
+    keys = [x.split("Join [", 1)[1].split("]", 1)[0] for x in joins if "Join [" in x]
+    assert keys and not [k for k in keys if ", i#" in k]
