@@ -1,7 +1,8 @@
 """Coordination between two signals or event series, against surrogates that keep their rhythm.
 
-Windows are correlated at all lags by FFT in a grouped map over sessions: a session's signals are
-bounded by its length. Shifts come from a fixed seed for each signal, so results repeat.
+Windows are correlated at all lags in a map over sessions packed to a row each: a session's signals are bounded by
+its length. Few lags of short windows are products of matrices, others go by FFT. Shifts come from a fixed seed for
+each signal, so results repeat.
 """
 
 from __future__ import annotations
@@ -9,10 +10,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duologue.operators.signals import map_groups
 from duologue.settings import SynchronySettings
 
 TINY = 1e-12
@@ -83,18 +84,31 @@ def windowed_correlation(a: np.ndarray, b: np.ndarray, hz: float, cfg: Synchrony
     allowed = lags < 0 if restrict == "a_leads" else lags > 0 if restrict == "b_leads" else np.ones(len(lags), bool)
     size = 1 << (2 * width - 1).bit_length()
     wa, ok_a = Series(a).windows(starts, width)
-    fa = np.fft.rfft(wa, size, axis=1)
-    other, per_lag = Series(b), (width - np.abs(lags))[allowed]
+    other, wanted = Series(b), lags[allowed]
+    per_lag = width - np.abs(wanted)
+    by_product = len(wanted) * width <= 4 * size * size.bit_length()
+    # every shifted window of b is one of its n circular ones, which are laid out once where they are few
+    ready = other.windows(np.arange(n), width) if n * width <= CHUNK and cfg.surrogates * len(starts) > n else None
+    if by_product:
+        moved = np.arange(width) + wanted[:, None]
+        left = np.where((moved >= 0) & (moved < width), wa[:, np.clip(moved, 0, width - 1)], 0.0)  # window, lag, frame
+    else:
+        fa = np.fft.rfft(wa, size, axis=1)
 
     def peaks(shifts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each circular shift of b and window the peak, its lag, and whether the window is usable."""
-        at = (starts[None, :] - shifts[:, None]) % n
-        wb, ok_b = other.windows(at.ravel(), width)
-        spectrum = np.fft.rfft(wb, size, axis=1).reshape(len(shifts), len(starts), -1)
-        c = np.fft.irfft(fa[None] * np.conj(spectrum), size, axis=2)
-        values = np.concatenate([c[:, :, -reach:], c[:, :, : reach + 1]], axis=2)[:, :, allowed] / per_lag
+        at = (starts[:, None] - shifts) % n  # window, shift
+        if ready is None:
+            wb, ok_b = (x.reshape(*at.shape, *x.shape[1:]) for x in other.windows(at.ravel(), width))
+        else:
+            wb, ok_b = (x[at] for x in ready)
+        if by_product:
+            values = wb @ left.transpose(0, 2, 1) / per_lag
+        else:
+            c = np.fft.irfft(fa[:, None] * np.conj(np.fft.rfft(wb, size, axis=2)), size, axis=2)
+            values = np.concatenate([c[:, :, -reach:], c[:, :, : reach + 1]], axis=2)[:, :, allowed] / per_lag
         best = values.argmax(axis=2)
-        return np.take_along_axis(values, best[:, :, None], 2)[:, :, 0], lags[allowed][best], ok_a & ok_b.reshape(at.shape)
+        return np.take_along_axis(values, best[:, :, None], 2)[:, :, 0].T, wanted[best].T, (ok_a[:, None] & ok_b).T
 
     top, at, ok = (x[0] for x in peaks(np.zeros(1, np.int64)))
     count = int(ok.sum())
@@ -119,38 +133,41 @@ def windowed_correlation(a: np.ndarray, b: np.ndarray, hz: float, cfg: Synchrony
     return Synchrony(peak, lag, mean, sd, (peak - mean) / sd if sd > TINY else np.nan, count, len(null_r))
 
 
-SCHEMA = "session_id string, signal string, restrict string, peak_r double, lag_s double, surrogate_mean double, surrogate_sd double, z double, n_windows int, n_surrogates int"
+SCHEMA = "signal string, restrict string, peak_r double, lag_s double, surrogate_mean double, surrogate_sd double, z double, n_windows int, n_surrogates int"
+WHO = "CASE person WHEN 'A' THEN 0 WHEN 'B' THEN 1 END"
 
 
 def synchrony(frames: DataFrame, sessions: DataFrame, signals: dict[str, tuple[str, ...]], cfg: SynchronySettings = SynchronySettings()) -> DataFrame:
     """One row for each session, signal and direction: ``signals`` maps a frame column to the directions wanted ('', or the leader: 'a_leads', 'b_leads')."""
     wanted = {k: v for k, v in signals.items()}
-    slim = frames.select("session_id", "person", "i", *wanted).join(sessions.select("session_id", "frame_hz"), "session_id")
+    rates = sessions.select("session_id", "frame_hz").hint("shuffle_hash")  # frames are many, and stay where they are
+    slim = frames.select("session_id", F.expr(WHO).alias("who"), "i", *wanted).filter("who IS NOT NULL").join(rates, "session_id")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        hz, rows = float(pdf["frame_hz"].iloc[0]), []
-        n = int(pdf["i"].max()) + 1
+    def run(g: dict[str, np.ndarray]) -> dict[str, list]:
+        hz, n, rows = float(g["frame_hz"][0]), int(g["i"][-1]) + 1, []
+        sides = [g["who"] == k for k in (0, 1)]
         for signal, directions in wanted.items():
-            series = {}
-            for person, part in pdf.groupby("person"):
-                x = np.full(n, np.nan)
-                x[part["i"].to_numpy()] = part[signal].to_numpy(float)
-                series[person] = x
+            x = np.full((2, n), np.nan)
+            for k, side in enumerate(sides):
+                x[k, g["i"][side]] = g[signal][side]
             for restrict in directions:
-                lead, follow = ("B", "A") if restrict == "b_leads" else ("A", "B")
-                r = windowed_correlation(series[lead], series[follow], hz, cfg, "a_leads" if restrict else None) if len(series) == 2 and n >= 10 else Synchrony()
-                rows.append((pdf["session_id"].iloc[0], signal, restrict, r.peak_r, r.lag_s, r.surrogate_mean, r.surrogate_sd, r.z, r.n_windows, r.n_surrogates))
-        out = pd.DataFrame(rows, columns=[c.split(" ")[0] for c in SCHEMA.split(", ")])
-        return out.astype({"n_windows": "int32", "n_surrogates": "int32"})
+                lead, follow = (1, 0) if restrict == "b_leads" else (0, 1)
+                r = windowed_correlation(x[lead], x[follow], hz, cfg, "a_leads" if restrict else None) if all(s.any() for s in sides) and n >= 10 else Synchrony()
+                rows.append((signal, restrict, r.peak_r, r.lag_s, r.surrogate_mean, r.surrogate_sd, r.z, r.n_windows, r.n_surrogates))
+        return {c.split(" ")[0]: list(x) for c, x in zip(SCHEMA.split(", "), zip(*rows))}
 
-    found = slim.groupBy("session_id").applyInPandas(run, SCHEMA)
+    found = map_groups(slim, ["session_id"], ["who", "frame_hz", *wanted], lambda groups: [run(g) for g in groups], SCHEMA)
     doubles = ("peak_r", "lag_s", "surrogate_mean", "surrogate_sd", "z")
     return found.select(*(F.when(F.isnan(c), None).otherwise(F.col(c)).alias(c) if c in doubles else F.col(c) for c in found.columns)).withColumn("excess", F.col("peak_r") - F.col("surrogate_mean"))
 
 
 def follow_rate(partner: np.ndarray, own: np.ndarray, window: float) -> float:
     own = np.sort(own)
-    return float((np.searchsorted(own, partner + window, "right") > np.searchsorted(own, partner, "right")).mean())
+    return float(followed(own, partner, window).mean())
+
+
+def followed(own: np.ndarray, partner: np.ndarray, window: float) -> np.ndarray:
+    return np.searchsorted(own, partner + window, "right") > np.searchsorted(own, partner, "right")
 
 
 def uptake(partner: np.ndarray, own: np.ndarray, duration: float, cfg: SynchronySettings = SynchronySettings()) -> float:
@@ -159,18 +176,18 @@ def uptake(partner: np.ndarray, own: np.ndarray, duration: float, cfg: Synchrony
     if len(partner) < 3 or duration <= 4 * w:
         return np.nan
     shifts = np.random.default_rng(cfg.seed).uniform(2 * w, duration - 2 * w, cfg.uptake_surrogates)
-    return follow_rate(partner, own, w) - float(np.mean([follow_rate((partner + s) % duration, own, w) for s in shifts]))
+    moved = (partner + shifts[:, None]) % duration  # all surrogates at once
+    return follow_rate(partner, own, w) - float(followed(np.sort(own), moved, w).mean(axis=1).mean())
 
 
 def uptake_by_person(onsets: DataFrame, sessions: DataFrame, name: str, cfg: SynchronySettings = SynchronySettings()) -> DataFrame:
     """(session_id, person, name) from onsets (session_id, person, start_s)."""
-    slim = onsets.select("session_id", "person", "start_s").join(sessions.select("session_id", "duration_s"), "session_id")
+    slim = onsets.select("session_id", F.col("start_s").alias("i"), F.expr(WHO).alias("who")).join(sessions.select("session_id", "duration_s"), "session_id")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        by = {p: np.sort(pdf.loc[pdf["person"] == p, "start_s"].to_numpy(float)) for p in "AB"}
-        duration = float(pdf["duration_s"].iloc[0])
-        values = [uptake(by["B"], by["A"], duration, cfg), uptake(by["A"], by["B"], duration, cfg)]
-        return pd.DataFrame({"session_id": pdf["session_id"].iloc[0], "person": ["A", "B"], name: values})
+    def run(g: dict[str, np.ndarray]) -> dict[str, list]:
+        a, b = (g["i"][g["who"] == k] for k in (0, 1))
+        duration = float(g["duration_s"][0])
+        return {"person": ["A", "B"], name: [uptake(b, a, duration, cfg), uptake(a, b, duration, cfg)]}
 
-    found = slim.groupBy("session_id").applyInPandas(run, f"session_id string, person string, {name} double")
+    found = map_groups(slim, ["session_id"], ["who", "duration_s"], lambda groups: [run(g) for g in groups], f"person string, {name} double")
     return found.withColumn(name, F.when(F.isnan(name), None).otherwise(F.col(name)))

@@ -115,3 +115,32 @@ def test_frames_are_not_joined_by_number(spark, sf, name):
     joins = [x for x in text.splitlines() if "Join [" in x or "JoinExec" in x]
     keys = [x.split("Join [", 1)[1].split("]", 1)[0] for x in joins if "Join [" in x]
     assert keys and not [k for k in keys if ", i#" in k]
+
+def test_synchrony_is_one_map_over_frames_where_they_are(spark, sf):
+    from duologue.operators import synchrony
+    from duologue.sources import testdata as td
+
+    corpus = td.event_corpus(spark, sf)
+    plan = synchrony.synchrony(corpus.frames, corpus.sessions, {"smile": ("",)})
+    assert not above(plan, "FlatMapGroupsInPandas", "Generate") and not above(plan, "Exchange", "Generate")
+
+
+def test_surrogates_at_once_are_as_one_by_one():
+    from duologue.operators import synchrony as sy
+
+    rng = np.random.default_rng(4)
+    a, b = np.sort(rng.uniform(0, 600, 9)), rng.uniform(0, 600, 14)
+    shifts = np.random.default_rng(20260730).uniform(4, 596, 200)
+    assert sy.uptake(a, b, 600.0) == sy.follow_rate(a, b, 2.0) - float(np.mean([sy.follow_rate((a + s) % 600.0, b, 2.0) for s in shifts]))
+    x, y = rng.normal(size=(2, 900))
+    x[40:60], y[500:700:3] = np.nan, np.nan
+    made = sy.windowed_correlation(x, y, 1.0)
+    shift = int(np.random.default_rng(20260730).integers(60, 840))
+    one = sy.windowed_correlation(x, np.roll(y, shift), 1.0, sy.SynchronySettings(surrogates=1))
+    first = sy.windowed_correlation(x, y, 1.0, sy.SynchronySettings(surrogates=5))
+    assert made.n_surrogates == 50 and first.n_surrogates == 5 and one.peak_r != made.peak_r
+    # the peak of each window by definition
+    starts = [s for s in range(0, 871, 10)]
+    sides = [sy.Series(v).windows(np.array(starts), 30) for v in (x, y)]
+    peaks = [max(sum(p[t + k] * q[t] for t in range(max(0, -k), min(30, 30 - k))) / (30 - abs(k)) for k in range(-5, 6)) for p, q, u, v in zip(sides[0][0], sides[1][0], sides[0][1], sides[1][1]) if u and v]
+    assert made.n_windows == len(peaks) and made.peak_r == pytest.approx(np.mean(peaks), abs=1e-12)
