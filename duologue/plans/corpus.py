@@ -84,7 +84,7 @@ class Corpus:
 
     @cached_property
     def inputs(self) -> DataFrame:
-        """(session_id, have): the names of each session's inputs."""
+        """(session_id, duration_s, frame_hz, have): ``have`` are the names of each session's inputs."""
         names = [n for n, there in self.present().items() if there]
         every = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
         if self.artifacts is not None:
@@ -93,4 +93,4 @@ class Corpus:
         else:
             base = self.sessions.withColumn("every", every)
         overlap = F.when(F.col("overlap_identifiable") & F.array_contains("every", "turn_set"), F.array(F.lit("overlap_evidence"))).otherwise(F.array().cast("array<string>"))
-        return base.select("session_id", F.concat("every", overlap).alias("have"))
+        return base.select("session_id", "duration_s", "frame_hz", F.concat("every", overlap).alias("have"))

@@ -116,6 +116,12 @@ def test_frames_are_not_joined_by_number(spark, sf, name):
     keys = [x.split("Join [", 1)[1].split("]", 1)[0] for x in joins if "Join [" in x]
     assert keys and not [k for k in keys if ", i#" in k]
 
+
+def test_measures_are_joined_while_wide(spark, sf):
+    text = entry.queries()["measures_backchannel"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in text.splitlines() if "Join [" in x and "person#" in x.split("Join [", 1)[1].split("]", 1)[0] and "measure#" in x.split("Join [", 1)[1].split("]", 1)[0]]
+
+
 def test_synchrony_is_one_map_over_frames_where_they_are(spark, sf):
     from duologue.operators import synchrony
     from duologue.sources import testdata as td
